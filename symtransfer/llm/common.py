@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: Stands for a null identifier inside the operators: it ranks after every real one.
 NO_ID = (1 << 63) - 1
@@ -23,9 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id (long, NO_ID for null) and text (null as empty); other columns go."""
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns id (long, NO_ID for null) and text (null as empty), after `keep` as _0, _1 ...; other columns go."""
     return docs.select(
+        *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)],
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
@@ -36,6 +38,11 @@ def real_id(col: str = "id"):
     return F.when(F.col(col) != F.lit(NO_ID), F.col(col))
 
 
+def with_fields(schema: StructType, **added: str) -> StructType:
+    """A copy of a schema (a frame's own one is shared) with more fields, by name and type."""
+    return StructType([*schema.fields, *(StructField(n, _parse_datatype_string(t)) for n, t in added.items())])
+
+
 def groups_for(text_bytes: int | None, mb: float, least: int = 1) -> int:
     return max(least, -(-int(text_bytes or 0) // int(mb * 1e6)))
 
