@@ -31,8 +31,8 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         change[0] = 1 - 2 * count[n]
         change[count[n:] == 0] = 1 << 40
         best = int(change.argmin())
-        fresh = 2 * count[capacity - n] + 1 if n < capacity else 0
-        if change[best] <= fresh or change[best] < 1 << 40 and n < capacity:
+        fresh = 2 * count[capacity - n] + 1
+        if change[best] < 1 << 40 and (n == capacity or change[best] <= fresh):
             gap = best + n
             at = bins[gap].pop()
             count[gap] -= 1
