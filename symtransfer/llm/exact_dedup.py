@@ -16,16 +16,19 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WHITE, groups_for, id_and_text, read, real_id, text_bytes
+from .common import NO_ID, WHITE, groups_for, id_and_text, read, real_id, text_bytes
 
-Value = tuple[int, int, int, bytes]  # fewer characters (negated), identifier, rows, digest
+Value = tuple  # characters (negated), identifier, rows, digest, and what else belongs to the row
 
 
 def merge(a: Value, b: Value) -> Value:
-    return (*min(a[:2], b[:2]), a[2] + b[2], a[3])
+    best = a if a[:2] <= b[:2] else b
+    return (*best[:2], a[2] + b[2], *best[3:])
 
 
 class PatriciaTrie:
@@ -184,6 +187,57 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_mb: float = 96.0, part_mb: float = 24.0) -> DataFrame:
+    """Of rows that exact_duplicates() finds equal, the one to keep, with all its columns: one row of each group, also where rows repeat."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    text, own = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
+    limit = int(memory_mb * 1e6)
+    plain = docs.toDF(*names)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups_for(plain.agg(F.sum(F.octet_length(text))).first()[0], part_mb))
+
+    def values(batch):
+        for row in zip(*(batch[c].to_pylist() for c in names), strict=True):
+            t = row[names.index(text)] or ""
+            i = row[names.index(own)]
+            key = _normal(t)
+            yield key, (-len(t), NO_ID if i is None else i, 1, len(key), xxhash.xxh64_intdigest(key) >> 1, row)
+
+    def batches_of(trie, schema, entries):
+        out, size = [], 0
+        for key, value in trie.items():
+            out.append(((*value[3:5], *value[5]) if entries else value[5]))
+            size += len(key)
+            if size > 8_000_000:
+                yield _batch(schema, out)
+                out, size = [], 0
+        if out:
+            yield _batch(schema, out)
+
+    def collapse(batches):
+        trie, schema = PatriciaTrie(1 << 62), None
+        for batch in batches:
+            schema = pa.schema([("size", pa.int64()), ("hash", pa.int64()), *batch.schema])
+            for key, value in values(batch):
+                trie.insert(key, value)
+                if trie.size > limit:
+                    yield from batches_of(trie, schema, True)
+        if schema is not None:
+            yield from batches_of(trie, schema, True)
+
+    def owners(batches):
+        trie, schema = PatriciaTrie(limit), None
+        for batch in batches:
+            batch = batch.select(names)
+            schema = batch.schema
+            for key, value in values(batch):
+                trie.insert(key, value)
+        if schema is not None:
+            yield from batches_of(trie, schema, False)
+
+    entries = plain.mapInArrow(collapse, StructType([StructField("size", LongType()), StructField("hash", LongType()), *plain.schema.fields]))
+    return entries.repartition(parts, "size", "hash").mapInArrow(owners, plain.schema).toDF(*docs.columns)
+
+
 def op4_patricia_exact_dedup(spark, sf_dir):
     return exact_duplicates(read(spark, sf_dir))
 

@@ -1,8 +1,9 @@
 """Sum-of-squares packing of tokenised documents into sequences.
 
-A document goes where the squared counts of open sequences, summed over residual gaps, become
-smallest (of equals, into the fullest). Pieces are dealt evenly into packing groups of bounded size, each
-of which packs on its own; a group leaves a few sequences unfilled, whatever its size.
+Longest first, a document goes into the open sequence that makes the squared counts of open
+sequences, summed over residual gaps, smallest (of equals, the fullest); where none has room a new
+one opens. Pieces are dealt evenly into packing groups of bounded size, each of which packs on its
+own; a group leaves a few sequences unfilled, whatever its size.
 """
 
 from __future__ import annotations
@@ -31,8 +32,7 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         change[0] = 1 - 2 * count[n]
         change[count[n:] == 0] = 1 << 40
         best = int(change.argmin())
-        fresh = 2 * count[capacity - n] + 1
-        if change[best] < 1 << 40 and (n == capacity or change[best] <= fresh):
+        if change[best] < 1 << 40:
             gap = best + n
             at = bins[gap].pop()
             count[gap] -= 1

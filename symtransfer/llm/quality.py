@@ -155,5 +155,26 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
     return out.select(*kept, *[real_id().alias(id_col)] * (id_col not in keep), *SCHEMA.names[1:], "base_failed", "kept")
 
 
+def keep_good(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that quality() keeps, with all their columns; other rows go."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    rows = docs.toDF(*names)
+
+    def run(batches):
+        for batch in batches:
+            ends, buf = utf8(batch[text])
+            keep = [verdict(measures(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a], rules), rules) for a, b in chunks(ends, 1 << 20)]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+
+
+def verdict(m: list[np.ndarray], rules: Rules) -> np.ndarray:
+    n_words, _, _, _, n_repeat, longest, covered = m
+    base = (n_words < rules.least_words) | (100 * n_repeat > rules.most_repeat_words * n_words)
+    return ~base & ~(covered > rules.most_covered * n_words) & ~((longest >= rules.longest_from) & (longest > rules.longest_share * n_words))
+
+
 def op1_suffix_array_quality(spark, sf_dir):
     return quality(read(spark, sf_dir))

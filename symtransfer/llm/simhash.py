@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, cut_lineage, id_and_text, read, real_id, utf8, words_of
+from .shared_spans import _BYTE, _kgrams, _mix, _spans_hash
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ALL = set(range(64))
 
 PRINTS = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -214,5 +214,106 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
     return out.select(real_id().alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("component").alias("component_id"))
 
 
+SKETCH = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("tables", pa.list_(pa.int64()))])
+
+
+def _shingles(buf: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lower-cased words, and their rows in order; a shorter row has one of all its words."""
+    buf = _LOWER[buf]
+    starts, stops, row = words_of(buf, ends)
+    words = _spans_hash(_BYTE[buf], starts, stops)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(row))
+    short = last - first < shingle
+    h, r = _spans_hash(words, first[short], last[short]), row[first[short]]
+    if len(words) >= shingle:
+        at = np.flatnonzero(row[: len(words) - shingle + 1] == row[shingle - 1 :])
+        h, r = np.concatenate([h, _kgrams(words, shingle)[at]]), np.concatenate([r, row[at]])
+    order = np.argsort(r, kind="stable")
+    return h[order], r[order]
+
+
+def _majority(h: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.diff(np.append(cut, len(h)))[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _sketches(shingle: int, tables: int, sample: int):
+    seeds = np.random.default_rng(11).integers(0, 1 << 64, (tables, sample), dtype=np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            ends, buf = utf8(batch["text"])
+            for a, b in chunks(ends, 1 << 20):
+                h, row = _shingles(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
+                if not len(h):
+                    continue
+                cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                n = len(cut)
+                drawn = np.empty((n, tables), np.uint64)
+                for t in range(tables):
+                    least = np.stack([np.minimum.reduceat(_mix(h ^ s), cut) for s in seeds[t]], 1)
+                    drawn[:, t] = _majority(least.ravel(), np.arange(n) * sample)
+                part = batch.slice(a, b - a).take(pa.array(row[cut]))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(drawn.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part["id"], part["node"], pa.array(_majority(h, cut).view(np.int64)), lists], schema=SKETCH)
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            ends, buf = utf8(batch["text"])
+            for a, b in chunks(ends, 1 << 20):
+                h, row = _shingles(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
+                at = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), lists], names=["node", "shingles"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 12, sample: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of similar texts: node (a 64-bit hash of identifier and text), id, keep_id and kept, of the texts in groups of two or more.
+
+    Texts are linked whose sets of word shingles have a Jaccard similarity of `similarity` or more, exactly verified.
+    Candidates are those whose fingerprints of all shingles differ in at most two bits (the popcount grid), and those
+    with equal fingerprints of a few shingles drawn alike from both (`tables` draws of `sample`): two texts of similarity
+    s share one with probability 1 - (1 - s^sample)^tables, 0.998 at the defaults. Each candidate is compared with
+    the first and the last of those it meets, so no group makes all its pairs. Texts without words have no links.
+    """
+    rows = id_and_text(docs, id_col, text_col).withColumn("node", F.xxhash64("id", "text"))
+    own = cut_lineage(rows.mapInArrow(_sketches(shingle, tables, sample), "id long, node long, fp long, tables array<long>"))
+    point = F.struct("id", "node")
+    drawn = own.select("id", "node", F.posexplode("tables").alias("t", "value"))
+    met = drawn.groupBy("t", "value").agg(F.min(point).alias("low"), F.max(point).alias("high")).where("low.node != high.node")
+    pairs = drawn.join(met, ["t", "value"]).select("node", F.explode(F.array("low.node", "high.node")).alias("other"))
+    prints = own.groupBy("fp").agg(F.min(point).alias("low"))
+    near = links(prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("low.node").alias("node")), "a").join(prints.select(F.col("fp").alias("b"), F.col("low.node").alias("other")), "b")
+    same = own.join(prints, "fp").select("node", F.col("low.node").alias("other"))
+    pairs = pairs.unionByName(near.select("node", "other")).unionByName(same).where("node != other")
+    pairs = cut_lineage(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
+    sets = sets.select("node", F.array_distinct("shingles").alias("shingles"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    verified = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    root = components(verified)
+    nodes = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    nodes = nodes.join(own.select("id", "node").distinct(), "node")
+    kept = nodes.groupBy("root").agg(F.min(point).alias("low"))
+    return nodes.join(kept, "root").select("node", "id", F.col("low.id").alias("keep_id"), (F.col("low.node") == F.col("node")).alias("kept"))
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **draws) -> DataFrame:
+    """All rows and columns but those of similar_components() that are not kept: the smallest identifier of each group stays."""
+    gone = similar_components(docs, similarity, shingle, id_col=id_col, text_col=text_col, **draws).where("NOT kept").select(F.col("node").alias("_gone"))
+    plain = id_and_text(docs, id_col, text_col, tuple(docs.columns)).withColumn("_gone", F.xxhash64("id", "text")).drop("id", "text")
+    return plain.join(gone, "_gone", "left_anti").drop("_gone").toDF(*docs.columns)
+
+
 def op9_simhash_popcount_grid(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir))

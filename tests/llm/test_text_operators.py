@@ -162,7 +162,7 @@ def test_packing(spark):
 
 
 def test_sum_of_squares_choice():
-    """Each place has the smallest sum of squared counts that any choice would have given."""
+    """Each place has the smallest sum of squared counts that any open sequence with room would have given."""
     rng = random.Random(8)
     lengths = np.array([rng.randint(1, 12) for _ in range(120)])
     number, offset = packing.pack(lengths, 12)
@@ -175,7 +175,7 @@ def test_sum_of_squares_choice():
             counts = np.bincount([g for g in after.values() if g], minlength=13)
             return int((counts**2).sum())
 
-        choices = [total(k, g) for k, g in gaps.items() if g >= n] + [total("new", 12)]
+        choices = [total(k, g) for k, g in gaps.items() if g >= n] or [total("new", 12)]
         assert total(b, gaps.get(b, 12)) == min(choices)
         assert offset[i] == 12 - gaps.get(b, 12)
         gaps[b] = gaps.get(b, 12) - n
