@@ -190,8 +190,13 @@ def _spark(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'binary'}" for f in schema)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+def _bucket_and_rest(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a hash goes, and the 48 bits that tell it from others there."""
+    return h % np.uint64(buckets), h // np.uint64(buckets) & _LOW48
+
+
+def _key(bucket: np.ndarray | int, rest: np.ndarray, buckets: int) -> np.ndarray:
+    return rest * np.uint64(buckets) + np.asarray(bucket, np.uint64)
 
 
 def _send_anchors(win: Windows, buckets: int) -> Callable:
@@ -202,16 +207,16 @@ def _send_anchors(win: Windows, buckets: int) -> Callable:
             hashes.append(c.anchor)
             rows.append(c.seg_row())
         h, row = np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(rows or [np.zeros(0, np.int64)])
-        h = _bucket(h, buckets).astype(np.uint64) << np.uint64(48) | h & _LOW48
-        order = np.lexsort((row, h))
-        h, row = h[order], row[order]
+        bucket, h = _bucket_and_rest(h, buckets)
+        order = np.lexsort((row, h, bucket))
+        bucket, h, row = bucket[order], h[order], row[order]
         new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        new[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
         at = np.flatnonzero(new)
         more = row[at] != row[np.append(at[1:], len(h)) - 1] if len(h) else np.zeros(0, bool)
-        h = h[at]
+        bucket, h = bucket[at], h[at]
         out = []
-        for b, i, j in _runs(h >> np.uint64(48)):
+        for b, i, j in _runs(bucket):
             out.append((b, key[0].as_py(), _pack48(h[i:j][~more[i:j]]), _pack48(h[i:j][more[i:j]])))
         return _table(ANCHORS, out)
 
@@ -263,12 +268,12 @@ def _send_segments(win: Windows, buckets: int, shards: int) -> Callable:
     def of_group(key, docs, live):
         if not docs.num_rows or not live.num_rows:
             return _table(SEGMENTS, [])
-        known = np.sort(np.concatenate([_unpack48(x) | np.uint64(b << 48) for b, x in zip(live["bucket"].to_pylist(), live["once"].to_pylist(), strict=True)]))
+        known = np.sort(np.concatenate([_key(b, _unpack48(x), buckets) for b, x in zip(live["bucket"].to_pylist(), live["once"].to_pylist(), strict=True)]))
         ends, buf = utf8(docs["text"])
         ids = docs["id"].to_numpy()
         found: list[dict[bytes, list[int]]] = [{} for _ in range(shards)]
         for c in _chunks_of(win, ends, buf):
-            h = _bucket(c.anchor, buckets).astype(np.uint64) << np.uint64(48) | c.anchor & _LOW48
+            h = _key(*_bucket_and_rest(c.anchor, buckets), buckets)
             at = np.searchsorted(known, h)
             which = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == h)
             data, first, stop = _text_of(win, c, which)
@@ -367,9 +372,9 @@ def shared_spans(docs: DataFrame, win: Windows, kernel: Kernel, finish: Callable
     rows = id_and_text(docs, id_col, text_col)
     size = text_bytes(rows)
     groups = groups_for(size, win.group_mb)
-    buckets = min(1 << 16, max(1, round(size * win.density() / win.bucket_anchors)))
+    buckets = max(1, round(size * win.density() / win.bucket_anchors))
     shards = groups_for(int(size * 0.4), win.shard_mb)
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, 100_000))
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups)
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).repartition(spread, "g")
     anchors = rows.groupBy("g").applyInArrow(_send_anchors(win, buckets), _spark(ANCHORS))
     live = anchors.groupBy("bucket").applyInArrow(_live_anchors, _spark(ANCHORS))
