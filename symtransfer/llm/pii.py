@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, id_and_text, read, real_id, with_fields
 
+#: What may stand between the groups of a phone number, marks that noise has put after words included.
+_GAP = r"(?:[!#$%&*]{0,3}(?: \| |[ .\-]))?"
 # Kinds in order of precedence, with their patterns.
 PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?:(?<=[\"'=: ])|\b)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{10,})|(?i:(?<![A-Za-z])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"'])(?P<quoted>[^\"'\s]{8,})(?=[\"'])|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}(?![0-9A-Za-z])"),
+    ("secret", r"(?:(?<=[\"'=: ])|\b)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{10,})|(?i:(?<![A-Za-z])(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key)[\"']?[ \t]*[=:][ \t]*)(?:[\"'](?P<quoted>[^\"'\s]{8,})(?=[\"'])|(?=[A-Za-z0-9_\-./+]*[0-9])(?P<bare>[A-Za-z0-9_\-./+]{8,}))|(?<![0-9A-Za-z])(?:(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}|(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]{32,})(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"),
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}[ .\-]?)(?:\([0-9]{2,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z(])\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?![0-9])|(?<![0-9.\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9.\-])"),
+    ("phone", rf"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{{0,2}}{_GAP})(?:\([0-9]{{2,4}}\){_GAP})?[0-9]{{2,4}}(?:{_GAP}[0-9]{{2,4}}){{1,4}}(?![0-9])|(?<![0-9A-Za-z(])\([0-9]{{3}}\){_GAP}[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9])|(?<![0-9.\-])[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}(?![0-9.\-])"),
     ("person", r"(?<![^\W\d_])(?:(?P<f>Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Г-жа|Κυρία)|(?P<m>Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н|Κύριος)|(?P<n>Dr|Prof))\.?[ \t](?P<name>(?!Mr|Mrs|Ms|Dr|Prof)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+)?)"),
 ]
 # First names by script and gender.
@@ -45,7 +47,7 @@ FIRST = {
 # Vowels and consonants by script.
 ALPHABETS = [("aeiou", "bcdfghjklmnpqrstvwxyz"), ("аеиоуэюя", "бвгджзклмнпрстфхцчш"), ("αεηιουω", "βγδζθκλμνξπρστφχψ")]
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-_MAYBE = re.compile("[0-9@]|" + "|".join(["Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Signor", "Г-", "Κύρι", "Κυρί", "Herr", "Monsieur", "Dr", "Prof", "sk-", "gh[pousr]_", "AKIA", "eyJ", "(?i:token|secret|passw|key)"])).search
+_MAYBE = re.compile("[0-9@]|" + "|".join(["Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Signor", "Г-", "Κύρι", "Κυρί", "Herr", "Monsieur", "Dr", "Prof", "sk-", "gh[pousr]_", "AKIA", "eyJ", "(?i:token|secret|passw|pwd|key)"])).search
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -57,8 +59,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         kind = next(k for k, _ in PATTERNS if m.group(k) is not None)
         a, b = m.span()
         if kind == "secret":
-            if m.group("quoted") is not None:
-                a, b = m.span("quoted")
+            for part in ("quoted", "bare"):
+                if m.group(part) is not None:
+                    a, b = m.span(part)
             out.append((a, b, kind, text[a:b]))
         elif kind == "person":
             gender = "f" if m.group("f") else "m" if m.group("m") else "n"
@@ -126,9 +129,9 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
             keep = min(2, len(labels) - 1) if labels[-2:-1] == ["example"] else 1
             new = "".join(_char(c, s) for c in local) + "@" + ".".join(["".join(_char(c, s) for c in x) for x in labels[:-keep]] + labels[-keep:])
         elif kind == "secret":
-            hexed = re.fullmatch("[0-9a-f]+", canonical)
+            hexed = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", canonical) else "0123456789ABCDEF" if re.fullmatch("[0-9A-F]+", canonical) else None
             head = re.match(r"AKIA|gh[pousr]_|sk-|eyJ|", canonical).group()
-            new = head + "".join("0123456789abcdef"[s.below(16)] if hexed else _char(c, s) for c in canonical[len(head) :])
+            new = head + "".join(hexed[s.below(16)] if hexed else _char(c, s) for c in canonical[len(head) :])
         elif kind == "card":
             new = canonical[0] + "".join(str(s.below(10)) for _ in canonical[1:-1])
             valid = _luhn(canonical) == 0
