@@ -328,21 +328,31 @@ def near_dup_documents(spark, sf):
     return _jaccard(pairs, frontends.document_words(spark, sf)).where("10 * shared >= 5 * total")
 
 
-@query("WITH " + WORDS_SQL.replace("AS entity_id, w AS", "AS entity_id, w AS").replace("FROM documents)", "FROM documents WHERE doc_id % 10 = 0)") + f""", ids AS (SELECT doc_id AS entity_id FROM documents WHERE doc_id % 10 = 0), {signature_sql(128, ids="ids")}, {bands_sql(128, 32)}, n AS (SELECT entity_id, count(*) AS n FROM words GROUP BY 1),
-near AS (SELECT DISTINCT a.entity_id AS u, b.entity_id AS t FROM bands a JOIN bands b ON a.band = b.band AND a.key = b.key AND a.entity_id < b.entity_id),
-k AS (SELECT u, t, shared, x.n + y.n - shared AS total FROM (SELECT a.entity_id AS u, b.entity_id AS t, count(*) AS shared FROM words a JOIN words b ON a.element = b.element AND a.entity_id < b.entity_id GROUP BY ALL) JOIN n x ON x.entity_id = u JOIN n y ON y.entity_id = t)
-SELECT CAST(10 * shared // total AS BIGINT) AS decile, CAST(count(*) AS BIGINT) AS pairs, CAST(count(near.u) AS BIGINT) AS found FROM k LEFT JOIN near USING (u, t) GROUP BY 1""")
+LINE_SETS_SQL = "words AS (SELECT DISTINCT doc_id AS entity_id, w AS element FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS w FROM documents) WHERE trim(w) <> '')"
+
+
+@query(f"""WITH {LINE_SETS_SQL}, {signature_sql(128)}, {bands_sql(128, 32)}""" + RECALL_SQL[len(FULL_SQL) :] + """
+SELECT CAST(10 * shared // total AS BIGINT) AS decile, CAST(count(*) AS BIGINT) AS pairs, CAST(count(near.u) AS BIGINT) AS found FROM k LEFT JOIN near USING (u, t) WHERE 2 * shared >= total GROUP BY 1""")
 def lsh_recall(spark, sf):
-    """Recall by decile of similarity against the exact join; the measurement is over a stated sample of documents, every tenth."""
-    words = frontends.document_words(spark, sf).where("entity_id % 10 = 0")
-    ids = table(spark, sf, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("entity_id"))
+    """Of document pairs whose sets of lines are similar by half or more, by decile: all, and those that the bands find.
+
+    The exact pairs come from a prefix filter: with lines in order of frequency, two such sets share one of each other's
+    first n - ceil(n / 2) + 1 lines, so frequent lines are hardly ever joined.
+    """
+    lines = frontends.document_lines(table(spark, sf, "documents")).select("entity_id", F.col("name").alias("element")).distinct()
+    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("entity_id"))
     lsh = MinHash(LSH.num_hashes, LSH.num_bands)
-    bands = lsh.bands(lsh.signatures(words, ids))
+    bands = lsh.bands(lsh.signatures(lines, ids))
     found = lsh_pairs(bands, bands).where("u < t").withColumn("hit", F.lit(1))
-    l, r = words.select(F.col("entity_id").alias("u"), "element"), words.select(F.col("entity_id").alias("t"), "element")
-    pairs = l.join(r, "element").where("u < t").select("u", "t").distinct()
-    exact = _jaccard(pairs, words)
-    return exact.join(found, ["u", "t"], "left").groupBy(F.expr("10 * shared div total").alias("decile")).agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
+    seen = lines.join(lines.groupBy("element").agg(F.count("*").alias("df")), "element")
+    sets = seen.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("df", "element"))).alias("s"))
+    sets = sets.select("entity_id", F.transform("s", lambda x: x["element"]).alias("s"), F.size("s").alias("n"))
+    prefix = sets.select("entity_id", F.explode(F.slice("s", F.lit(1), F.expr("n - cast(ceil(n / 2.0) as int) + 1"))).alias("element"))
+    pairs = prefix.withColumnRenamed("entity_id", "u").join(prefix.withColumnRenamed("entity_id", "t"), "element").where("u < t").select("u", "t").distinct()
+    both = pairs.join(sets.select(F.col("entity_id").alias("u"), F.col("s").alias("x")), "u").join(sets.select(F.col("entity_id").alias("t"), F.col("s").alias("y")), "t")
+    shared = F.size(F.array_intersect("x", "y"))
+    exact = both.select("u", "t", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("total")).where("2 * shared >= total")
+    return exact.join(found, ["u", "t"], "left").groupBy(F.expr("10 * shared div total").cast("long").alias("decile")).agg(F.count("*").alias("pairs"), F.count("hit").alias("found"))
 
 
 # ---- transfer and lookup
