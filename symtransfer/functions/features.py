@@ -50,6 +50,16 @@ def fine_fingerprint(ops: Column, tags: Column) -> Column:
     return F.when(F.size(ops) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(ops, tags))
 
 
+def profile_hash(n_params: Column, insn_count: Column, max_stack: Column, max_locals: Column) -> Column:
+    """Hash of a method's outline."""
+    return F.xxhash64(n_params, insn_count, max_stack, max_locals)
+
+
+def fold32(h: Column) -> Column:
+    """A 64-bit hash folded to 32 bits, as an unsigned long."""
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def flag_overlap(a: Column, b: Column) -> Column:
     """Shared bits over all bits; 1 if neither has any. 32-bit flags."""
     mask = F.lit(0xFFFFFFFF)

@@ -82,3 +82,21 @@ def read_jar(spark: SparkSession, path: str, drop_dynamic: bool = False, canonic
     )
     entity = rows.select("entity_id", "ord", F.col("access").alias("flags"), "super", "interfaces", reference_set(F.col("super"), F.col("interfaces")).alias("refs"))
     return Side(with_sizes(entity, member), member)
+
+
+def in_order(side: Side) -> DataFrame:
+    """Entities in the archive's order."""
+    return side.entity.orderBy("ord")
+
+
+def read_entry(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """data of the entry with that name: one row, or none."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch["content"].to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    if name in z.namelist():
+                        yield pa.RecordBatch.from_arrays([pa.array([z.read(name)], pa.binary())], names=["data"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "data binary")

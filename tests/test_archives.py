@@ -19,7 +19,7 @@ from symtransfer.plans.frontends import Side, with_sizes
 from symtransfer.sinks import external
 from symtransfer.sinks.jar import is_signature, rewrite_jar
 from symtransfer.sources.classfile import ClassFormatError, Names, decode, plain_opcode, rewrite
-from symtransfer.sources.jar import read_jar, scan
+from symtransfer.sources.jar import in_order, read_entry, read_jar, scan
 from symtransfer.streaming.incremental import match_stream
 
 EXTRA = {"Foo": (1, []), "Bar": (3, [("get", "()I")]), "Baz": (5, [("get", "()I"), ("set", "(Ljava/lang/String;)V")])}
@@ -115,7 +115,9 @@ def test_scan_keeps_errors_apart(spark, tmp_path):
     jar = write_jar(tmp_path / "a.jar", [("A", sample("A", 1)), ("Bad", b"nonsense"), ("A2", sample("A", 2))], [("x.txt", b"hi")])
     rows = scan(spark, jar).collect()
     assert [(r.entity_id, r.error is None) for r in sorted(rows, key=lambda r: r.ord)] == [("A", True), ("Bad", False), ("A", True)]
+    assert [bytes(r.data) for r in read_entry(spark, jar, "x.txt").collect()] == [b"hi"] and read_entry(spark, jar, "none").count() == 0
     side = read_jar(spark, jar)
+    assert [r.entity_id for r in in_order(side).collect()] == ["A"]
     assert [(r.entity_id, r.n_fields) for r in side.entity.collect()] == [("A", 2)]
 
 

@@ -33,6 +33,12 @@ def test_fingerprints(spark):
     assert coarse() == ",".join("0" * 11)
 
 
+def test_hashes_of_outlines(spark):
+    one = lambda *x: value(spark, features.profile_hash(*map(F.lit, x)))
+    assert one(1, 2, 3, 4) == one(1, 2, 3, 4) != one(1, 2, 4, 3)
+    assert [value(spark, features.fold32(F.lit(x).cast("long"))) for x in (0, 1, -1, 1 << 32)] == [0, 1, 0, 1]
+
+
 @pytest.mark.parametrize(("a", "b", "want"), [(0, 0, 1.0), (1, 0, 0.0), (3, 1, 0.5), (-1, -1, 1.0), (-1, 1, 1 / 32)])
 def test_flag_overlap(spark, a, b, want):
     assert value(spark, features.flag_overlap(F.lit(a), F.lit(b))) == want
