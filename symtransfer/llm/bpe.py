@@ -11,6 +11,7 @@ ends makes the whole exact.
 from __future__ import annotations
 
 import json
+import struct
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -22,8 +23,8 @@ from .common import id_and_text, read, real_id, with_fields
 
 #: Pieces of more bytes than this are encoded as trees.
 LONG = 512
-#: Distinct pieces that a worker remembers.
-REMEMBERED = 300_000
+#: Distinct pieces that a worker remembers, of each sort.
+REMEMBERED = 350_000
 
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in set(_VISIBLE)]
@@ -56,16 +57,30 @@ def join(encode, left: list[bytes], right: list[bytes]) -> list[bytes]:
         n *= 2
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _lettered(data: bytes) -> str:
+    """Bytes in the byte-level alphabet."""
+    return "".join([_LETTERS[b] for b in data])
+
+
+def _lettered_run(run: str) -> str:
+    """The same for a text without white space and control characters."""
+    return run if run.isascii() else _lettered(run.encode())
+
+
 class Pieces(dict):
     """Piece -> its ids as little-endian 32-bit integers; filled as pieces come."""
 
     def __init__(self, encode) -> None:
-        self.encode = encode
+        self.encode_bytes = lambda piece: _packed(encode(piece))
 
     def __missing__(self, piece):
         if len(self) >= REMEMBERED:
             self.clear()
-        got = self[piece] = np.array(self.encode(piece), "<u4").tobytes()
+        got = self[piece] = self.encode_bytes(piece)
         return got
 
 
@@ -94,12 +109,12 @@ class ByteLevel:
         self.odd = regex.compile(r"[^\x09-\x0d\x20-\x7e -ɏͰ-ϿЀ-џ‐-‧ぁ-ゖァ-ヺ一-龥가-힣]").search
 
     def _tokens(self, data: bytes) -> list[bytes]:
-        return [self.bytes[x.id] for x in self.tokenizer.model.tokenize("".join([_LETTERS[b] for b in data]))]
+        return [self.bytes[x.id] for x in self.tokenizer.model.tokenize(_lettered(data))]
 
     def _encode_piece(self, piece: str) -> list[int]:
         data = piece.encode()
         if len(data) <= LONG:
-            return [x.id for x in self.tokenizer.model.tokenize("".join([_LETTERS[b] for b in data]))]
+            return [x.id for x in self.tokenizer.model.tokenize(_lettered(data))]
         if len(data) <= 64 * LONG:
             return [self.id[b] for b in tree_encode(self._tokens, data)]
         with ThreadPoolExecutor(2) as pool:
@@ -125,15 +140,31 @@ class ByteLevel:
 
 
 class ByWord:
-    """A tokenizer file whose rules never reach over ASCII white space; the library encodes each distinct word."""
+    """A lower-casing tokenizer file whose rules never reach over ASCII white space.
+
+    Distinct words are remembered, and so are the runs of letters and of marks that they are made of. Words of ASCII and
+    Latin letters are cut and lower-cased here, as the file's rules do it; the library does all others.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        self.tokenizer = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        self.pieces = Pieces(lambda word: t.encode(word.decode(), add_special_tokens=False).ids)
+        self.special = regex.compile("|".join(regex.escape(x["content"]) for x in json.loads(t.to_str())["added_tokens"]) or "(?!)").search
+        self.plain = regex.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+").fullmatch
+        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        tokens = t.model.tokenize
+        self.runs = Pieces(lambda run: [x.id for x in tokens(_lettered_run(run))])
+        self.pieces = Pieces(None)
+        self.pieces.encode_bytes = self._word
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.plain(text) and not self.special(text):
+            return b"".join(map(self.runs.__getitem__, self.find(text.lower())))
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, text.encode().split()))
