@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,11 +284,12 @@ def _send_segments(win: Windows, buckets: int, shards: int) -> Callable:
                 if own < had[0]:
                     had[0] = own
         out = []
+        pack = zstandard.ZstdCompressor(level=3).compress
         for s, segs in enumerate(found):
             if segs:
                 sizes = np.fromiter(map(len, segs), np.uint32, len(segs))
                 owners, keys = zip(*segs.values(), strict=True)
-                out.append((s, key[0].as_py(), np.array(keys, np.uint64).tobytes(), sizes.tobytes(), np.array(owners, np.int64).tobytes(), b"".join(segs)))
+                out.append((s, key[0].as_py(), np.array(keys, np.uint64).tobytes(), sizes.tobytes(), np.array(owners, np.int64).tobytes(), pack(b"".join(segs))))
         return _table(SEGMENTS, out)
 
     return of_group
@@ -302,10 +304,11 @@ def _answer(win: Windows, kernel: Kernel) -> Callable:
         number: dict[bytes, int] = {}
         owner: list[int] = []
         asked = []
+        unpack = zstandard.ZstdDecompressor().decompress
         for g, keys, sizes, owners, data in zip(*(table[c].to_pylist() for c in ("g", "keys", "sizes", "owners", "data")), strict=True):
             stop = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)
             start = stop - np.frombuffer(sizes, np.uint32)
-            mine = []
+            mine, data = [], unpack(data)
             for i, j, own in zip(start.tolist(), stop.tolist(), np.frombuffer(owners, np.int64).tolist(), strict=True):
                 k = number.setdefault(data[i:j], len(owner))
                 if k == len(owner):
