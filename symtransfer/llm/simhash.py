@@ -297,7 +297,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     pairs = cut_lineage(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
-    sets = sets.select("node", F.array_distinct("shingles").alias("shingles"))
+    # written out, so the joins below deal both sides only for themselves and a crowded leader's pairs can be split
+    sets = cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     verified = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
