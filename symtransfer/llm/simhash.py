@@ -275,20 +275,55 @@ def _sets(shingle: int):
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a > b of nodes with different roots, all similar ones among them. rows: node, root, shingles (distinct).
+
+    With shingles in order of frequency, similar sets of x >= y shingles share one of the first x - ceil(s x) + 1 of the
+    larger and the first y - ceil(2 s y / (1 + s)) + 1 of the smaller, and from the first shared one on each has as
+    many left as both must share. Shingles that one row alone has come first and meet nothing.
+    """
+    each = rows.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    # written out, as in similar_components
+    often = cut_lineage(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+    ranked = each.join(often, "s").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
+    first = ranked.select("node", "root", "n", F.size("r").alias("m"), F.posexplode("r").alias("k", "e"))
+    first = first.select("node", "root", "n", F.col("e.s").alias("s"), (F.col("n") - F.col("m") + F.col("k")).alias("i"))
+    within = lambda share: F.col("i") <= F.col("n") - F.ceil(share * F.col("n") - 1e-6)
+    large = cut_lineage(first.where(within(similarity)))
+    least = 2 * similarity / (1 + similarity)
+    small = large.where(within(least))
+    # groups that meet at a shingle, so that a crowd of one group doesn't meet itself
+    other = large.select("s", F.col("root").alias("other")).distinct()
+    groups = cut_lineage(small.select("s", "root").distinct().join(other, "s").where("root != other"))
+    x = large.select("s", F.col("root").alias("other"), F.col("node").alias("xnode"), F.col("n").alias("xn"), F.col("i").alias("xi"))
+    met = groups.join(small, ["s", "root"]).join(x, ["s", "other"]).where("n < xn OR n = xn AND node < xnode")
+    met = met.where(F.least(F.col("n") - F.col("i"), F.col("xn") - F.col("xi")) >= least / 2 * (F.col("n") + F.col("xn")) - 1e-6)
+    return met.select(F.greatest("node", "xnode").alias("a"), F.least("node", "xnode").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 12, sample: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of similar texts: node (a 64-bit hash of identifier and text), id, keep_id and kept, of the texts in groups of two or more.
 
     Texts are linked whose sets of word shingles have a Jaccard similarity of `similarity` or more, exactly verified.
     Candidates are those whose fingerprints of all shingles differ in at most two bits (the popcount grid), and those
     with equal fingerprints of a few shingles drawn alike from both (`tables` draws of `sample`): two texts of similarity
-    s share one with probability 1 - (1 - s^sample)^tables, 0.998 at the defaults. Each candidate is compared with
-    the first and the last of those it meets, so no group makes all its pairs. Texts without words have no links.
+    s share one with probability 1 - (1 - s^sample)^tables, 0.998 at the defaults. Each candidate is first compared with
+    the first and the last of those it meets; where four or more meet and don't all become one group, an exact prefix
+    filter finds the other pairs between the groups, so no group makes all its pairs and no similar pair that shares
+    a draw is left out. Texts without words have no links.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("node", F.xxhash64("id", "text"))
     own = cut_lineage(rows.mapInArrow(_sketches(shingle, tables, sample), "id long, node long, fp long, tables array<long>"))
     point = F.struct("id", "node")
     drawn = own.select("id", "node", F.posexplode("tables").alias("t", "value"))
-    met = drawn.groupBy("t", "value").agg(F.min(point).alias("low"), F.max(point).alias("high")).where("low.node != high.node")
+    met = cut_lineage(drawn.groupBy("t", "value").agg(F.min(point).alias("low"), F.max(point).alias("high"), F.count("*").alias("n")).where("low.node != high.node"))
     pairs = drawn.join(met, ["t", "value"]).select("node", F.explode(F.array("low.node", "high.node")).alias("other"))
     prints = own.groupBy("fp").agg(F.min(point).alias("low"))
     near = links(prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("low.node").alias("node")), "a").join(prints.select(F.col("fp").alias("b"), F.col("low.node").alias("other")), "b")
@@ -299,10 +334,18 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
     # written out, so the joins below deal both sides only for themselves and a crowded leader's pairs can be split
     sets = cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    verified = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    verified = cut_lineage(_verified(pairs, sets, similarity))
     root = components(verified)
+    # two or three that meet are all compared above
+    crowd = drawn.join(met.where("n > 3").select("t", "value"), ["t", "value"]).join(root, "node", "left")
+    crowd = cut_lineage(crowd.select("t", "value", "node", F.coalesce("root", "node").alias("root")))
+    several = crowd.groupBy("t", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("t", "value")
+    open_nodes = cut_lineage(crowd.join(several, ["t", "value"]).select("node", "root").distinct())
+    if not open_nodes.isEmpty():
+        rest = _prefix_pairs(open_nodes.join(sets, "node"), similarity).join(pairs, ["a", "b"], "left_anti")
+        more = cut_lineage(_verified(cut_lineage(rest), sets, similarity))
+        if not more.isEmpty():
+            root = components(verified.unionByName(more))
     nodes = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())
     nodes = nodes.join(own.select("id", "node").distinct(), "node")
     kept = nodes.groupBy("root").agg(F.min(point).alias("low"))

@@ -115,3 +115,18 @@ def test_similar_groups_of_a_crowd(spark):
     want = {i: k for i, k in groups(rows).items()}
     assert {i: got.get(i, i) for i in want} == want
     assert similar_components(df.where("false")).count() == 0
+
+
+def test_near_copies_within_a_template_family(spark):
+    """Pages that share most of their text meet in the same buckets; only the near copies among them are similar."""
+    rng = random.Random(5)
+    template = " ".join(f"t{i}" for i in range(160))
+    own = lambda: " ".join(f"u{rng.randint(0, 10**9)}" for _ in range(24))
+    rows = [(i, f"{template} {own()}") for i in range(500)]
+    rows += [(1000 + i, edited(rows[i * 10 + 4][1], rng, 3)) for i in range(50)]
+    rng.shuffle(rows)
+    want = groups(rows)
+    assert sum(i != k for i, k in want.items()) >= 40
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    got = {r.id: r.keep_id for r in similar_components(df).collect()}
+    assert {i: got.get(i, i) for i in want} == want
