@@ -24,6 +24,9 @@ from .common import cut_lineage, id_and_text, read, real_id, with_fields
 
 #: What may stand between the groups of a phone number, marks that noise has put after words included.
 _GAP = r"(?:[!#$%&*]{0,3}(?: \| |[ .\-]))?"
+# Particles of family names, which stay as they are; a word of a name, which is no title.
+_PARTICLE = "(?:von|van|vom|zu|zur|der|den|ter|de|del|della|di|da|do|dos|das|du|la|le|af|al|el|bin|ibn)"
+_NAME = r"(?!(?:Mrs?|Ms|Dr|Prof)(?![^\W\d_]))[^\W\d_a-zа-яα-ω](?:[^\W\d_]+(?:['’\-][^\W\d_]+)*|(?:['’\-][^\W\d_]+)+)"
 # Kinds in order of precedence, with their patterns.
 PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
@@ -33,7 +36,7 @@ PATTERNS = [
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("phone", rf"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{{0,2}}{_GAP})(?:\([0-9]{{2,4}}\){_GAP})?[0-9]{{2,4}}(?:{_GAP}[0-9]{{2,4}}){{1,4}}(?![0-9])|(?<![0-9A-Za-z(])\([0-9]{{3}}\){_GAP}[0-9]{{3}}[ .\-][0-9]{{4}}(?![0-9])|(?<![0-9.\-])[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}(?![0-9.\-])"),
-    ("person", r"(?<![^\W\d_])(?:(?P<f>Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Г-жа|Κυρία)|(?P<m>Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н|Κύριος)|(?P<n>Dr|Prof))\.?[ \t](?P<name>(?!Mr|Mrs|Ms|Dr|Prof)[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+)?)"),
+    ("person", r"(?<![^\W\d_])(?:(?P<f>Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Г-жа|Κυρία)|(?P<m>Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н|Κύριος)|(?P<n>Dr|Prof))\.?[ \t](?P<name>(?:%s[ \t])*%s(?:[ \t](?:%s[ \t])*%s)*)" % (_PARTICLE, _NAME, _PARTICLE, _NAME)),
 ]
 # First names by script and gender.
 FIRST = {
@@ -66,7 +69,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         elif kind == "person":
             gender = "f" if m.group("f") else "m" if m.group("m") else "n"
             a, b = m.span("name")
-            parts = list(re.finditer(r"\S+", text[a:b]))
+            parts = [p for p in re.finditer(r"\S+", text[a:b]) if not re.fullmatch(_PARTICLE, p.group())]
             for i, p in enumerate(parts):
                 which = "family" if i == len(parts) - 1 else f"first_{gender}"
                 out.append((a + p.start(), a + p.end(), which, p.group().lower()))
@@ -168,6 +171,8 @@ def written(kind: str, mention: str, new: str) -> str:
         it = iter(new)
         return "".join(next(it) if c.isalnum() else c for c in mention)
     if kind.startswith("first_") or kind == "family":
+        if kind == "family" and len(new) == len(mention):
+            return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new, strict=True))
         return new.upper() if mention.isupper() and len(mention) > 1 else "-".join(p[:1].upper() + p[1:] for p in new.split("-"))
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new, strict=True))

@@ -323,6 +323,16 @@ def test_surrogates(spark):
     assert {r.text for r in pii.pseudonymise(frame(spark, PRIVATE), "other").collect()} != set(text.values())
 
 
+@pytest.mark.parametrize("text, words", [
+    ("Mrs Anna Maria Smith left", ["Anna", "Maria", "Smith"]), ("Ms Smith-Jones left", ["Smith-Jones"]), ("Frau Anna von Berg kam", ["Anna", "Berg"]), ("Frau von Berg kam", ["Berg"]),
+    ("Mr O'Neil left", ["O'Neil"]), ("Mr Drake left", ["Drake"]), ("Mrs Drew Barry left", ["Drew", "Barry"]), ("Mr Miller Mrs Smith", ["Miller", "Smith"]), ("Dr Mr left", []),
+])
+def test_whole_names_are_found(text, words):
+    found = pii.entities(text)
+    assert [text[a:b] for a, b, _, _ in found] == words
+    assert all(kind == "family" or i < len(found) - 1 for i, (_, _, kind, _) in enumerate(found))
+
+
 def test_surrogates_are_redrawn_on_collision(spark, monkeypatch):
     """With a draw that always collides at first, distinct entities still get distinct surrogates, and texts use them."""
     draw = pii.surrogate
