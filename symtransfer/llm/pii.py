@@ -4,7 +4,7 @@ Each detected entity has a kind and a canonical form (digits only, lower case ..
 drawn from a keyed stream and has the same kind, length, script and shape: letters become letters of
 their alphabet (vowels stay vowels), digits become digits, separators stay, a card number passes or
 fails its checksum as before, an address stays in its class of network, first names keep their
-gender. One canonical form has one surrogate everywhere, written in the case and layout of each
+gender, which all their titles in the corpus settle together, and may get a double name. One canonical form has one surrogate everywhere, written in the case and layout of each
 mention, so mentions of one entity stay alike. All distinct entities of the corpus are checked:
 where two would share a surrogate, or a surrogate is itself an entity, the later one is drawn again.
 """
@@ -125,7 +125,7 @@ def _script(name: str) -> str:
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
     """A canonical form for another one; never the same."""
     for salt in range(1000):
-        s = _Stream(key, kind, canonical, f"{attempt}.{salt}")
+        s = _Stream(key, "first" if kind.startswith("first_") else kind, canonical, f"{attempt}.{salt}")
         if kind == "email":
             local, _, domain = canonical.partition("@")
             labels = domain.split(".")
@@ -179,6 +179,8 @@ def written(kind: str, mention: str, new: str) -> str:
     return new
 
 
+#: Of first names: female, male, not known.
+GENDERS = "fmn"
 FOUND = "array<struct<start: long, stop: long, kind: string, canonical: string>>"
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("canonical", pa.string())]))
 
@@ -196,7 +198,10 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def assignments(found: DataFrame, key: bytes, most_rounds: int = 20) -> DataFrame:
-    """kind, canonical, attempt, surrogate of all distinct entities (kind, canonical); surrogates differ from each other and from all entities of a kind."""
+    """kind, canonical, attempt, surrogate of all distinct entities (kind, canonical); surrogates differ from each other and from all entities of a kind.
+
+    All first names are one kind here: each has the gender that most of its titles tell, else the one whose list has it.
+    """
 
     @F.pandas_udf("string")
     def drawn(kind, canonical, attempt):
@@ -205,12 +210,18 @@ def assignments(found: DataFrame, key: bytes, most_rounds: int = 20) -> DataFram
     def draw(df):
         return df.withColumn("surrogate", drawn("kind", "canonical", "attempt"))
 
-    # first names are a few shared ones by design; they need not be distinct
-    known = cut_lineage(draw(found.where(~F.col("kind").startswith("first_")).select("kind", "canonical").distinct().withColumn("attempt", F.lit(0))))
+    told = found.groupBy("kind", "canonical").agg((F.sum("n") if "n" in found.columns else F.count("*")).alias("n"))
+    first = F.col("kind").startswith("first_")
+    times = lambda g: F.sum(F.when(F.col("kind") == f"first_{g}", F.col("n")).otherwise(0)).alias(g)
+    listed = lambda g: F.col("canonical").isin([x.lower() for (_, h), names in FIRST.items() if h == g for x in names])
+    gender = F.when(F.expr("f > m"), "f").when(F.expr("m > f"), "m").when(listed("f"), "f").when(listed("m"), "m").when(F.expr("f > 0"), "f").otherwise("n")
+    names = told.where(first).groupBy("canonical").agg(times("f"), times("m")).select(F.concat(F.lit("first_"), gender).alias("kind"), "canonical")
+    known = cut_lineage(draw(told.where(~first).select("kind", "canonical").unionByName(names).withColumn("attempt", F.lit(0))))
+    one = F.when(first, "first").otherwise(F.col("kind")).alias("one")
     for _ in range(most_rounds):
-        own = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canonical"))
-        entity = known.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("taken"))
-        marked = known.withColumn("n", own).join(entity, ["kind", "surrogate"], "left").withColumn("again", (F.col("n") > 1) | F.col("taken").isNotNull())
+        own = F.row_number().over(Window.partitionBy("one", "surrogate").orderBy("attempt", "canonical"))
+        entity = known.select(one, F.col("canonical").alias("surrogate"), F.lit(True).alias("taken"))
+        marked = known.withColumn("one", one).withColumn("n", own).join(entity, ["one", "surrogate"], "left").withColumn("again", (F.col("n") > 1) | F.col("taken").isNotNull())
         again = marked.where("again").count()
         if not again:
             return known
@@ -226,8 +237,15 @@ def pseudonymise(docs: DataFrame, key: bytes | str, id_col: str = "doc_id", text
     """
     key = key.encode() if isinstance(key, str) else key
     found = detect(docs, id_col, text_col).select(F.explode("mentions").alias("m")).select("m.kind", "m.canonical")
+    found = cut_lineage(found.groupBy("kind", "canonical").agg(F.count("*").alias("n")))
     known = assignments(found, key)
-    redrawn = known.where("attempt > 0").select("kind", "canonical", "attempt")
+    first = F.col("kind").startswith("first_")
+    redrawn = known.where(~first & (F.col("attempt") > 0)).select("kind", "canonical", "attempt")
+    # a first name may be met with other titles than its gender's: three times the attempt and the place in GENDERS
+    named = known.where(first).withColumn("met", F.explode(F.array(*[F.lit(f"first_{g}") for g in GENDERS]))).where("attempt > 0 OR met != kind")
+    named = named.join(found.where(first).select(F.col("kind").alias("met"), "canonical").distinct(), ["met", "canonical"], "left_semi")
+    place = F.instr(F.lit(GENDERS), F.substring("kind", -1, 1)) - 1
+    redrawn = cut_lineage(redrawn.unionByName(named.select(F.col("met").alias("kind"), "canonical", (3 * F.col("attempt") + place).cast("int").alias("attempt"))))
     names = [f"_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     text = names[docs.columns.index(text_col)]
@@ -245,7 +263,11 @@ def pseudonymise(docs: DataFrame, key: bytes | str, id_col: str = "doc_id", text
                 mentions = entities(t) if t else []
                 at, out = 0, []
                 for a, b, kind, canonical in mentions:
-                    out += [t[at:a], written(kind, t[a:b], draw(kind, canonical, attempts.get(f"{kind}\0{canonical}", 0)))]
+                    attempt = attempts.get(f"{kind}\0{canonical}", 0)
+                    if kind.startswith("first_") and f"{kind}\0{canonical}" in attempts:
+                        attempt, place = divmod(attempt, 3)
+                        kind = f"first_{GENDERS[place]}"
+                    out += [t[at:a], written(kind, t[a:b], draw(kind, canonical, attempt))]
                     at = b
                 texts.append("".join([*out, t[at:]]) if mentions else t)
                 counts.append(len(mentions))

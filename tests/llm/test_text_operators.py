@@ -333,6 +333,24 @@ def test_whole_names_are_found(text, words):
     assert all(kind == "family" or i < len(found) - 1 for i, (_, _, kind, _) in enumerate(found))
 
 
+def test_people_of_one_family_stay_distinct(spark):
+    first = "Abigail Beatrice Carol Doris Edith Flora Gloria Hilda Ida Jane Kate Lucy Martha Nancy Olive Pamela Queenie Ruth Sarah Tess".split() + ["Anna", "Clara"]
+    out = pii.pseudonymise(frame(spark, [(i, f"Mrs {x} Miller") for i, x in enumerate(first)]), "k").collect()
+    assert len({r.text for r in out}) == len(first)
+    assert not {r.text.split()[1] for r in out} & set(first)
+
+
+def test_a_first_name_keeps_surrogate_and_gender_beside_any_title(spark):
+    first = "Anna Clara Jane Kate Lucy Ruth Sarah Tess".split()
+    rows = [(i, f"Mrs {x} Miller") for i, x in enumerate(first)] + [(i, f"Dr {x} Miller") for i, x in enumerate(first)] + [(90, "Prof Vera Stone")]
+    out = [(r.doc_id, r.text.split()[1:]) for r in pii.pseudonymise(frame(spark, rows), "k").collect()]
+    for i, _ in enumerate(first):
+        a, b = (x for j, x in out if j == i)
+        assert a == b
+    female = set(pii.FIRST["latin", "f"])
+    assert all(x[0].split("-")[0] in female for _, x in out)
+
+
 def test_surrogates_are_redrawn_on_collision(spark, monkeypatch):
     """With a draw that always collides at first, distinct entities still get distinct surrogates, and texts use them."""
     draw = pii.surrogate
