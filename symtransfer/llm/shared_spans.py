@@ -12,17 +12,22 @@ that own one occurrence of it.
    finds the smallest identifier for each window of each segment.
 3. The answers go back to the groups, which mark the windows of larger identifiers.
 
-A hash only picks candidates; kernels compare symbols. A hot passage arrives once from each
-group, however many documents have it, and no step makes pairs of documents.
+A hash only picks candidates: groups, shards and kernels tell segments apart by their bytes. A
+group reads its rows in one order, so an answer names its segment by the number of its first
+occurrence there. A hot passage arrives once from each group, however many documents have it, and
+no step makes pairs of documents. Groups are dealt by identifier and text, so rows that all repeat
+one identifier, or have none, are dealt evenly too.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +129,7 @@ class Chunk:
     first: np.ndarray  # of each segment: the first window, and the last
     last: np.ndarray
     anchor: np.ndarray  # its hash
-    key: np.ndarray  # a hash of the whole segment
+    key: np.ndarray  # a hash of the whole segment, which only tells where to look
 
     def seg_row(self) -> np.ndarray:
         return self.row0 + self.row[self.first]
@@ -183,8 +188,13 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 
 ANCHORS = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
-SEGMENTS = pa.schema([("shard", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("owners", pa.binary()), ("data", pa.binary())])
-ANSWERS = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("length", pa.binary()), ("owner", pa.binary())])
+SEGMENTS = pa.schema([("shard", pa.int32()), ("g", pa.int32()), ("first", pa.binary()), ("sizes", pa.binary()), ("owners", pa.binary()), ("data", pa.binary())])
+ANSWERS = pa.schema([("g", pa.int32()), ("first", pa.binary()), ("runs", pa.binary()), ("length", pa.binary()), ("owner", pa.binary())])
+
+
+def _in_order(docs: pa.Table) -> pa.Table:
+    """A group's rows in an order that their content alone decides; rows come from a shuffle in any order."""
+    return docs.take(pc.sort_indices(docs, [("id", "ascending"), ("text", "ascending")])).combine_chunks()
 
 
 def _spark(schema: pa.Schema) -> str:
@@ -270,26 +280,29 @@ def _send_segments(win: Windows, buckets: int, shards: int) -> Callable:
         if not docs.num_rows or not live.num_rows:
             return _table(SEGMENTS, [])
         known = np.sort(np.concatenate([_key(b, _unpack48(x), buckets) for b, x in zip(live["bucket"].to_pylist(), live["once"].to_pylist(), strict=True)]))
+        docs = _in_order(docs)
         ends, buf = utf8(docs["text"])
         ids = docs["id"].to_numpy()
-        found: list[dict[bytes, list[int]]] = [{} for _ in range(shards)]
+        # by shard: a segment's smallest identifier and the number of its first occurrence
+        found: defaultdict[int, dict[bytes, list[int]]] = defaultdict(dict)
+        before = 0
         for c in _chunks_of(win, ends, buf):
             h = _key(*_bucket_and_rest(c.anchor, buckets), buckets)
             at = np.searchsorted(known, h)
             which = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == h)
             data, first, stop = _text_of(win, c, which)
             shard = (c.anchor[which] % np.uint64(shards)).astype(np.int64)
-            for s, i, j, own, k in zip(shard.tolist(), first, stop, ids[c.seg_row()[which]].tolist(), c.key[which].tolist(), strict=True):
+            for s, i, j, own, k in zip(shard.tolist(), first, stop, ids[c.seg_row()[which]].tolist(), (which + before).tolist(), strict=True):
                 had = found[s].setdefault(data[i:j], [own, k])
                 if own < had[0]:
                     had[0] = own
+            before += len(c.anchor)
         out = []
         pack = zstandard.ZstdCompressor(level=3).compress
-        for s, segs in enumerate(found):
-            if segs:
-                sizes = np.fromiter(map(len, segs), np.uint32, len(segs))
-                owners, keys = zip(*segs.values(), strict=True)
-                out.append((s, key[0].as_py(), np.array(keys, np.uint64).tobytes(), sizes.tobytes(), np.array(owners, np.int64).tobytes(), pack(b"".join(segs))))
+        for s, segs in found.items():
+            sizes = np.fromiter(map(len, segs), np.uint32, len(segs))
+            owners, number = zip(*segs.values(), strict=True)
+            out.append((s, key[0].as_py(), np.array(number, np.uint32).tobytes(), sizes.tobytes(), np.array(owners, np.int64).tobytes(), pack(b"".join(segs))))
         return _table(SEGMENTS, out)
 
     return of_group
@@ -305,7 +318,7 @@ def _answer(win: Windows, kernel: Kernel) -> Callable:
         owner: list[int] = []
         asked = []
         unpack = zstandard.ZstdDecompressor().decompress
-        for g, keys, sizes, owners, data in zip(*(table[c].to_pylist() for c in ("g", "keys", "sizes", "owners", "data")), strict=True):
+        for g, numbers, sizes, owners, data in zip(*(table[c].to_pylist() for c in ("g", "first", "sizes", "owners", "data")), strict=True):
             stop = np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)
             start = stop - np.frombuffer(sizes, np.uint32)
             mine, data = [], unpack(data)
@@ -316,7 +329,7 @@ def _answer(win: Windows, kernel: Kernel) -> Callable:
                 elif own < owner[k]:
                     owner[k] = own
                 mine.append(k)
-            asked.append((g, keys, np.array(mine, np.int64)))
+            asked.append((g, numbers, np.array(mine, np.int64)))
         windows, least = kernel(list(number), np.array(owner, np.int64), win.width)
         begin = np.cumsum(windows) - windows
         new = np.ones(len(least), bool)
@@ -328,10 +341,10 @@ def _answer(win: Windows, kernel: Kernel) -> Callable:
         first = np.searchsorted(at, begin)
         runs = np.diff(np.append(first, len(at)))
         out = []
-        for g, keys, mine in asked:
+        for g, numbers, mine in asked:
             n = runs[mine]
             pick = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((g, keys, n.astype(np.uint32).tobytes(), length[pick].tobytes(), values[pick].tobytes()))
+            out.append((g, numbers, n.astype(np.uint32).tobytes(), length[pick].tobytes(), values[pick].tobytes()))
         return _table(ANSWERS, out)
 
     return of_shard
@@ -341,25 +354,36 @@ def _marks(win: Windows, finish: Callable, schema: pa.Schema) -> Callable:
     def of_group(docs, answers):
         if not docs.num_rows:
             return schema.empty_table()
+        docs = _in_order(docs)
         ends, buf = utf8(docs["text"])
         ids = docs["id"].to_numpy()
-        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in answers[c].to_pylist()] or [np.zeros(0, t)])
-        keys, runs, length, owner = join("keys", np.uint64), join("runs", np.uint32).astype(np.int64), join("length", np.uint32).astype(np.int64), join("owner", np.int64)
+        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in answers[c].to_pylist()] or [np.zeros(0, t)]).astype(np.int64)
+        number, runs, length, owner = join("first", np.uint32), join("runs", np.uint32), join("length", np.uint32), join("owner", np.int64)
         begin = np.cumsum(runs) - runs
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        order = np.argsort(number)
+        number = number[order]
+        keys = np.zeros(0, np.uint64)  # of answered segments met so far; the first occurrence comes before all others
+        answer: dict[bytes, int] = {}
+        before = 0
         out = []
         for c in _chunks_of(win, ends, buf):
             n = len(c.row)
             change = np.zeros(n + 1, np.int32)
+            i, j = np.searchsorted(number, [before, before + len(c.key)])
+            firsts = number[i:j] - before
+            before += len(c.key)
+            keys = np.sort(np.concatenate([keys, c.key[firsts]]))
             if len(keys) and len(c.key):
-                at = np.minimum(np.searchsorted(keys, c.key), len(keys) - 1)
-                which = np.flatnonzero(keys[at] == c.key)
-                seg = order[at[which]]
+                which = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, c.key), len(keys) - 1)] == c.key)
+                data, start, stop = _text_of(win, c, which)
+                texts = [data[x:y] for x, y in zip(start, stop, strict=True)]
+                for place, seg in zip(np.searchsorted(which, firsts).tolist(), order[i:j].tolist(), strict=True):
+                    answer[texts[place]] = seg
+                seg = np.array([answer.get(t, -1) for t in texts], np.int64)
+                which, seg = which[seg >= 0], seg[seg >= 0]
                 m = runs[seg]
                 pick = np.repeat(begin[seg] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                size = length[pick]
-                covered = np.repeat(owner[pick], size) < np.repeat(ids[c.seg_row()[which]], c.last[which] - c.first[which] + 1)
+                covered = np.repeat(owner[pick], length[pick]) < np.repeat(ids[c.seg_row()[which]], c.last[which] - c.first[which] + 1)
                 total = c.last[which] - c.first[which] + 1
                 places = np.repeat(c.first[which] - (np.cumsum(total) - total), total) + np.arange(total.sum())
                 places = places[covered]
@@ -371,17 +395,30 @@ def _marks(win: Windows, finish: Callable, schema: pa.Schema) -> Callable:
     return of_group
 
 
+#: Bytes that a message from a group to a shard should have, about.
+MESSAGE = 1000
+
+
+def sizes_for(size: int, win: Windows) -> tuple[int, int, int]:
+    """Groups, buckets and shards for so many bytes of text.
+
+    Messages go from each group to each shard, so both get larger with the root of the input once messages would be
+    small, up to 256 and 64 MB (at 100 TB, executors want 4 GB a core).
+    """
+    grown = max(1.0, (size * MESSAGE / (win.group_mb * win.shard_mb * 1e12)) ** 0.5)
+    group_mb, shard_mb = max(win.group_mb, min(win.group_mb * grown, 256.0)), max(win.shard_mb, min(win.shard_mb * grown, 64.0))
+    buckets = max(1, round(size * win.density() / (win.bucket_anchors * min(grown, 10.0))))
+    return groups_for(size, group_mb), buckets, groups_for(int(size * 0.4), shard_mb)
+
+
 def shared_spans(docs: DataFrame, win: Windows, kernel: Kernel, finish: Callable, schema: pa.Schema, spark_schema: str, id_col: str, text_col: str) -> DataFrame:
     rows = id_and_text(docs, id_col, text_col)
-    size = text_bytes(rows)
-    groups = groups_for(size, win.group_mb)
-    buckets = max(1, round(size * win.density() / win.bucket_anchors))
-    shards = groups_for(int(size * 0.4), win.shard_mb)
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups)
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).repartition(spread, "g")
-    anchors = rows.groupBy("g").applyInArrow(_send_anchors(win, buckets), _spark(ANCHORS))
+    groups, buckets, shards = sizes_for(text_bytes(rows), win)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int")).repartition(max(parts, groups), "g")
+    anchors = rows.groupBy("g").applyInArrow(_send_anchors(win, buckets), _spark(ANCHORS)).repartition(max(parts, buckets), "bucket")
     live = anchors.groupBy("bucket").applyInArrow(_live_anchors, _spark(ANCHORS))
-    segments = rows.groupBy("g").cogroup(live.groupBy("g")).applyInArrow(_send_segments(win, buckets, shards), _spark(SEGMENTS))
+    segments = rows.groupBy("g").cogroup(live.groupBy("g")).applyInArrow(_send_segments(win, buckets, shards), _spark(SEGMENTS)).repartition(max(parts, shards // 4), "shard")
     answers = segments.groupBy("shard").applyInArrow(_answer(win, kernel), _spark(ANSWERS))
     return rows.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_marks(win, finish, schema), spark_schema)
 

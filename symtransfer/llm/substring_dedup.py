@@ -1,9 +1,10 @@
 """Removal of word windows that an earlier document has, by suffix automata.
 
-Each shard of shared_spans builds one suffix automaton over its distinct reference segments;
-its states know the smallest identifier in which their strings end. All segments then stream
-through it for matching statistics: at each word, the longest suffix that the automaton has,
-shortened to the window's width. The automata grow with the corpus, so segments are routed to
+Each shard of shared_spans takes its distinct segments in the order of their smallest identifiers.
+A segment streams through the automaton of the reference segments before it for matching
+statistics: at each word, the longest suffix that the automaton has, shortened to the window's
+width. Windows found there belong to an earlier document; a segment with windows that are not
+found becomes a reference itself. The automata grow with the corpus, so segments are routed to
 their shard's automaton rather than every automaton broadcast to all documents.
 """
 
@@ -19,11 +20,11 @@ from .shared_spans import Chunk, Windows, per_row, shared_spans
 
 
 class SuffixAutomaton:
-    """Of several word sequences. length, link and owner by state; owner: the smallest identifier of a sequence that has its strings."""
+    """Of several sequences, added in ascending order of their owners. link, length and owner by state; owner: of the first sequence that has its strings."""
 
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.owner = [-1], [0], [1 << 63]
+        self.link, self.length, self.owner = [-1], [0], [0]
 
     def add(self, sequence: list[int], owner: int) -> None:
         nxt, link, length, owners = self.next, self.link, self.length, self.owner
@@ -38,7 +39,7 @@ class SuffixAutomaton:
                 cur = len(nxt)
                 nxt.append({})
                 length.append(length[last] + 1)
-                owners.append(1 << 63)
+                owners.append(owner)
                 link.append(0)
                 p = last
                 while p >= 0 and c not in nxt[p]:
@@ -48,15 +49,13 @@ class SuffixAutomaton:
                     q = nxt[p][c]
                     link[cur] = q if length[q] == length[p] + 1 else self._clone(p, q, c)
                 last = cur
-            if owner < owners[last]:
-                owners[last] = owner
 
     def _clone(self, p: int, q: int, c: int) -> int:
         nxt, link, length, owners = self.next, self.link, self.length, self.owner
         r = len(nxt)
         nxt.append(dict(nxt[q]))
         length.append(length[p] + 1)
-        owners.append(1 << 63)
+        owners.append(owners[q])
         link.append(link[q])
         link[q] = r
         while p >= 0 and nxt[p].get(c) == q:
@@ -64,15 +63,8 @@ class SuffixAutomaton:
             p = link[p]
         return r
 
-    def settle(self) -> None:
-        """Owners of longer strings also own their suffixes."""
-        link, owners = self.link, self.owner
-        for s in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
-            if owners[s] < owners[link[s]]:
-                owners[link[s]] = owners[s]
-
-    def owners_of_windows(self, sequence: list[int], width: int) -> list[int]:
-        """By matching statistics: the owner of each window of `width` symbols (1 << 63: none has it)."""
+    def owners_of_windows(self, sequence: list[int], width: int) -> list[int | None]:
+        """By matching statistics: the owner of each window of `width` symbols (None: the automaton doesn't have it)."""
         nxt, link, length, owners = self.next, self.link, self.length, self.owner
         state, size, out = 0, 0, []
         for i, c in enumerate(sequence):
@@ -86,21 +78,24 @@ class SuffixAutomaton:
                     state = link[state]
                     size = length[state]
             if i >= width - 1:
-                out.append(owners[state] if size >= width else 1 << 63)
+                out.append(owners[state] if size >= width else None)
         return out
 
 
 def window_owners(segments: list[bytes], owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of each segment (words one space apart), and the smallest owner of each window."""
     number: dict[bytes, int] = {}
-    sequences = [[number.setdefault(w, len(number)) for w in s.split(b" ")] for s in segments]
-    automaton = SuffixAutomaton()
-    for s, own in zip(sequences, owners.tolist(), strict=True):
-        automaton.add(s, own)
-    automaton.settle()
-    windows = np.array([max(0, len(s) - width + 1) for s in sequences], np.int64)
-    least = [x for s in sequences for x in automaton.owners_of_windows(s, width)]
-    return windows, np.array(least, np.int64)
+    windows = np.zeros(len(segments), np.int64)
+    least: list[list[int]] = [[]] * len(segments)
+    references = SuffixAutomaton()
+    for i in np.argsort(owners, kind="stable").tolist():
+        own = int(owners[i])
+        sequence = [number.setdefault(w, len(number)) for w in segments[i].split(b" ")]
+        found = references.owners_of_windows(sequence, width)
+        if None in found:
+            references.add(sequence, own)
+        windows[i], least[i] = len(found), [own if x is None else x for x in found]
+    return windows, np.array([x for w in least for x in w], np.int64)
 
 
 SCHEMA = pa.schema([("id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64()))])

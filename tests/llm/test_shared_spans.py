@@ -35,14 +35,55 @@ def test_suffix_automaton_owners():
     rng = random.Random(5)
     for _ in range(200):
         sequences = [[rng.randint(0, 2) for _ in range(rng.randint(1, 12))] for _ in range(5)]
-        owners = [rng.randint(0, 4) for _ in sequences]
+        owners = sorted(rng.randint(0, 4) for _ in sequences)
         auto = SuffixAutomaton()
-        for s, o in zip(sequences, owners, strict=True):
-            auto.add(s, o)
-        auto.settle()
-        for s in sequences:
-            want = [min(o for t, o in zip(sequences, owners, strict=True) if any(t[j : j + 3] == s[i : i + 3] for j in range(len(t) - 2))) for i in range(len(s) - 2)]
+        for k, s in enumerate(sequences):
+            want = [min((o for t, o in zip(sequences[:k], owners, strict=False) if any(t[j : j + 3] == s[i : i + 3] for j in range(len(t) - 2))), default=None) for i in range(len(s) - 2)]
             assert auto.owners_of_windows(s, 3) == want
+            auto.add(s, owners[k])
+
+
+def thue_morse(n):
+    """A word of n letters and its complement, which polynomial hashes modulo a power of two can't tell apart."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"group_mb": 0.002}])
+def test_segments_with_equal_hashes_are_told_apart(spark, sizes):
+    x, y = thue_morse(4096)
+    twelve = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{twelve} {x}"), (2, f"{twelve} {y}"), (3, f"{twelve} {y}"), (4, y), (5, x), (6, f"{x} {y}")]
+    for width, split, remove in ((13, lambda t: t.encode().split(), remove_shared_windows), (5000, lambda t: list(t.encode()), remove_shared_bytes)):
+        got = remove(frame(spark, rows), width=width, **sizes).collect()
+        want = brute(rows, width, split)
+        assert sorted((r.doc_id, sum(s.stop - s.start for s in r.spans)) for r in got) == [(i, n) for (i, _), (_, n, _, _) in zip(rows, want, strict=True)]
+
+
+def test_rows_without_identifiers_are_dealt_evenly(spark):
+    """A third of all rows may repeat one identifier, or have none: results stay, and no group gets them all."""
+    from symtransfer.llm.common import NO_ID, id_and_text
+
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(rng.choice([None, None, 7, i]), f"{passage} " * rng.randint(0, 1) + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))) for i in range(400)]
+    got = remove_shared_windows(frame(spark, rows), group_mb=0.015, chunk=1000).collect()
+    want = brute(rows, 13, lambda t: t.encode().split())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.kept.encode()) for r in got) == sorted((i is None, i or 0, b" ".join(k)) for (i, _), (k, _, _, _) in zip(rows, want, strict=True))
+    dealt = id_and_text(frame(spark, rows)).where(f"id = {NO_ID}").selectExpr("pmod(xxhash64(id, text), 8) AS g")
+    groups = {r.g for r in dealt.collect()}
+    assert len(groups) == 8
+
+
+def test_sizes_grow_with_the_root_of_the_input():
+    from symtransfer.llm.shared_spans import Windows, sizes_for
+
+    win = Windows(50, 20)
+    for size in (10**8, 10**10, 10**12, 10**14):
+        groups, buckets, shards = sizes_for(size, win)
+        assert size / groups <= 257e6 and 0.4 * size / shards <= 65e6 and buckets >= 1
+        assert size / (groups * shards) >= 100 or groups == shards == 1 or size < 10**13
+    assert sizes_for(0, win) == (1, 1, 1)
 
 
 def brute(rows, width, split):
