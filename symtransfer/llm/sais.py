@@ -4,8 +4,10 @@ A text is an array of uint16 symbols in which 0 ends each string; these ends cou
 distinct symbols, in order of place, so no common prefix crosses one. The induction runs
 bucket by bucket: all suffixes that one bucket induces are dealt out by a stable radix
 sort at once, so its cost is linear in the text and there is no loop over characters.
-Names of leftmost-smaller substrings make a reduced text, whose alphabet is too large for
-buckets; its suffixes are put in order by doubling of ranks.
+Names of leftmost-smaller substrings make a reduced text, in which names that occur once decide
+every comparison, so what lies between two of them goes. The rest, each name written as two
+digits, is a text of few symbols again and is sorted by recursion. Doubling of ranks sorts a small
+rest, and one that two digits a name would not make shorter (long runs of one pattern).
 """
 
 from __future__ import annotations
@@ -137,6 +139,31 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
         h *= 2
 
 
+#: A reduced text of so many names is sorted by doubling.
+SMALL = 1 << 15
+
+
+def _reduced_order(names: np.ndarray, n: int) -> np.ndarray:
+    """Order of the suffixes of the reduced text, in which the last name is unique, of a text of n symbols."""
+    if len(names) <= SMALL:
+        return _by_doubling(names)
+    alone = np.bincount(names)[names] == 1
+    kept = ~alone
+    kept[1:] |= ~alone[:-1]
+    kept = np.flatnonzero(kept)
+    left = names[kept]
+    if 8 * len(left) > 3 * n:
+        return _by_doubling(names)
+    base = int(np.ceil(np.sqrt(int(left.max()) + 1)))
+    digits = np.zeros(2 * len(left) + 1, np.uint16)
+    digits[0:-1:2] = left // base + 1
+    digits[1:-1:2] = left % base + 1
+    order = suffix_array(digits)
+    order = kept[order[(order & 1 == 0) & (order < 2 * len(left))] >> 1]
+    order = np.concatenate([order[~alone[order]], np.flatnonzero(alone)])
+    return order[np.argsort(names[order], kind="stable")]
+
+
 def suffix_array(text: np.ndarray, packed: np.ndarray | None = None) -> np.ndarray:
     """text: uint16 symbols, the last one 0."""
     n = len(text)
@@ -163,7 +190,7 @@ def suffix_array(text: np.ndarray, packed: np.ndarray | None = None) -> np.ndarr
         return _induce(text, small, ordered, ends)
     names = np.zeros(n, np.int32)
     names[ordered] = np.concatenate([[0], np.cumsum(~same)])
-    return _induce(text, small, lms[_by_doubling(names[lms])], ends)
+    return _induce(text, small, lms[_reduced_order(names[lms], n)], ends)
 
 
 def permuted_lcp(text: np.ndarray, sa: np.ndarray, packed: np.ndarray | None = None) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from symtransfer.llm import sais
 from symtransfer.llm.sais import concat, permuted_lcp, suffix_array
 from symtransfer.llm.substring_dedup import SuffixAutomaton, remove_shared_windows
 from symtransfer.llm.suffix_dedup import remove_shared_bytes
@@ -12,7 +13,10 @@ from symtransfer.llm.suffix_dedup import remove_shared_bytes
 SCHEMA = "doc_id long, text string, kept string, g int, id int"
 
 
-def test_suffix_array_and_common_prefixes():
+@pytest.mark.parametrize("small", [1 << 15, 3])
+def test_suffix_array_and_common_prefixes(monkeypatch, small):
+    """With reduced texts sorted by doubling, and by recursion down to three names."""
+    monkeypatch.setattr(sais, "SMALL", small)
     rng = random.Random(3)
     for t in range(300):
         letters = bytes(range(97, 97 + rng.choice([1, 2, 3, 20])))
