@@ -101,3 +101,26 @@ def words_of(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts = np.flatnonzero(inside & (~before | first))
     stops = np.flatnonzero(before & (~inside | first))
     return starts, stops, np.searchsorted(ends, starts, "right") - 1
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def interned(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """A number for each span buf[start:stop], the same for equal bytes only. hashed: their hashes, which may collide."""
+    _, first, number = np.unique(hashed, return_index=True, return_inverse=True)
+    sizes = stops - starts
+    own = np.flatnonzero(first[number] != np.arange(len(number)))
+    other = first[number[own]]
+    same = np.array_equal(sizes[own], sizes[other]) and np.array_equal(buf[_gather(starts[own], sizes[own])], buf[_gather(starts[other], sizes[other])])
+    if same:
+        return number
+    raw, numbers = buf.tobytes(), {}
+    return np.array([numbers.setdefault(raw[i:j], len(numbers)) for i, j in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
+
+
+def pair_numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers, dense from 0."""
+    return np.unique(a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]

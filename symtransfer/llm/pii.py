@@ -4,9 +4,15 @@ Each detected entity has a kind and a canonical form (digits only, lower case ..
 drawn from a keyed stream and has the same kind, length, script and shape: letters become letters of
 their alphabet (vowels stay vowels), digits become digits, separators stay, a card number passes or
 fails its checksum as before, an address stays in its class of network, first names keep their
-gender, which all their titles in the corpus settle together, and may get a double name. One canonical form has one surrogate everywhere, written in the case and layout of each
-mention, so mentions of one entity stay alike. All distinct entities of the corpus are checked:
-where two would share a surrogate, or a surrogate is itself an entity, the later one is drawn again.
+gender, which all their titles in the corpus settle together. Names are found behind a title and then
+wherever they stand in that document. One canonical form has one surrogate everywhere, written in the
+case and layout of each mention, so mentions of one entity stay alike.
+
+All distinct entities of the corpus are checked: where two would share a surrogate, or a surrogate is
+itself an entity, the later one is drawn again. From the second new draw on a surrogate gets wider
+with each one, so a shape that is used up never ends the search: a character more (names, mail,
+secrets, numbers), a double name (first names, from the first new draw on), another network (private
+addresses go to 10.0.0.0/8; after four draws all go to 2001:db8::/32, reserved for examples).
 """
 
 from __future__ import annotations
@@ -14,10 +20,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, id_and_text, read, real_id, with_fields
@@ -53,11 +60,37 @@ _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
 _MAYBE = re.compile("[0-9@]|" + "|".join(["Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Signor", "Г-", "Κύρι", "Κυρί", "Herr", "Monsieur", "Dr", "Prof", "sk-", "gh[pousr]_", "AKIA", "eyJ", "(?i:token|secret|passw|pwd|key)"])).search
 
 
+def _letter(c: str) -> bool:
+    return c.isalpha()
+
+
+def _cased(c: str) -> bool:
+    return c.lower() != c.upper()
+
+
+def _elsewhere(text: str, named: dict[str, str], taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """Whole words that are a name of this document, in its spelling or in capitals, outside the mentions known."""
+    out = []
+    for name, kind in named.items():
+        for spelling in {name, name.upper()}:
+            at = text.find(spelling)
+            while at >= 0:
+                end = at + len(spelling)
+                # scripts without cases don't part words
+                whole = not _cased(spelling[0]) or not (_letter(text[at - 1 : at]) or _letter(text[end : end + 1]))
+                if whole and not any(a < end and at < b for a, b in taken):
+                    out.append((at, end, kind, name.lower()))
+                    taken.append((at, end))
+                at = text.find(spelling, end)
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """start, stop, kind and canonical form of each mention, in order. First names and family names are mentions of their own."""
     if not _MAYBE(text):
         return []
     out = []
+    named: dict[str, str] = {}
     for m in _FIND.finditer(text):
         kind = next(k for k, _ in PATTERNS if m.group(k) is not None)
         a, b = m.span()
@@ -72,7 +105,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             parts = [p for p in re.finditer(r"\S+", text[a:b]) if not re.fullmatch(_PARTICLE, p.group())]
             for i, p in enumerate(parts):
                 which = "family" if i == len(parts) - 1 else f"first_{gender}"
-                out.append((a + p.start(), a + p.end(), which, p.group().lower()))
+                name = re.sub("['’]s$", "", p.group())
+                out.append((a + p.start(), a + p.start() + len(name), which, name.lower()))
+                named.setdefault(name, which)
         elif kind == "email":
             out.append((a, b, kind, text[a:b].lower()))
         elif kind == "ip":
@@ -81,6 +116,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             out.append((a, b, kind, re.sub(r"\W", "", text[a:b])))
         elif kind != "phone" or 7 <= sum(c.isdigit() for c in text[a:b]) <= 15:
             out.append((a, b, kind, re.sub(r"\D", "", text[a:b])))
+    if named:
+        out = sorted(out + _elsewhere(text, named, [x[:2] for x in out]))
     return out
 
 
@@ -98,45 +135,64 @@ class _Stream:
         return got % n
 
 
+@lru_cache(10_000)
+def _pool(c: str) -> str:
+    """Characters that may stand for a letter or digit in lower case: of its alphabet, or of its script in its block."""
+    for vowels, consonants in ALPHABETS:
+        if c in vowels or c in consonants:
+            return vowels if c in vowels else consonants
+    script = unicodedata.name(c, "").split(" ")[0].split("-")[0]
+    for name, (vowels, consonants) in zip(("LATIN", "CYRILLIC", "GREEK"), ALPHABETS, strict=True):
+        if script == name:
+            return vowels + consonants
+    first, kind = ord(c) & ~0xFF, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0].split("-")[0] == script)
+
+
 def _char(c: str, s: _Stream) -> str:
     if "0" <= c <= "9":
         return str(s.below(10))
+    if not c.isalnum():
+        return c
     low = c.lower()
-    for vowels, consonants in ALPHABETS:
-        pool = vowels if low in vowels else consonants if low in consonants else None
-        if pool:
-            new = pool[s.below(len(pool))]
-            return new.upper() if c != low else new
-    if c.isalpha():
-        vowels, consonants = ALPHABETS[1 if "Ѐ" <= c <= "ӿ" else 2 if "Ͱ" <= c <= "Ͽ" else 0]
-        new = (vowels + consonants)[s.below(len(vowels + consonants))]
-        return new.upper() if c != low else new
-    return c
+    if len(low) != 1 or not (pool := _pool(low)):
+        return c
+    new = pool[s.below(len(pool))]
+    return new.upper() if c != low else new
 
 
 def _luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10
 
 
-def _script(name: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "greek" if any("Ͱ" <= c <= "Ͽ" for c in name) else "latin"
+def _script(name: str) -> str | None:
+    scripts = {unicodedata.name(c, "").split(" ")[0].lower() for c in name if c.isalpha()}
+    return next((x for x in ("latin", "cyrillic", "greek") if scripts == {x}), None)
 
 
 def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
-    """A canonical form for another one; never the same."""
-    for salt in range(1000):
-        s = _Stream(key, "first" if kind.startswith("first_") else kind, canonical, f"{attempt}.{salt}")
+    """A canonical form for another one; never the same. Later attempts are wider (see the module)."""
+    salt = 0
+    while True:
+        wide = max(0, attempt - 1) + salt // 20
+        s = _Stream(key, "name" if kind == "family" or kind.startswith("first_") else kind, canonical, f"{attempt}.{salt}")
+        digits = lambda n: "".join(str(s.below(10)) for _ in range(n))  # noqa: E731, B023
+        like = lambda text: "".join(_char(c, s) for c in text)  # noqa: E731, B023
         if kind == "email":
             local, _, domain = canonical.partition("@")
             labels = domain.split(".")
             keep = min(2, len(labels) - 1) if labels[-2:-1] == ["example"] else 1
-            new = "".join(_char(c, s) for c in local) + "@" + ".".join(["".join(_char(c, s) for c in x) for x in labels[:-keep]] + labels[-keep:])
+            new = like(local + "ab" * wide) + "@" + ".".join([like(x) for x in labels[:-keep]] + labels[-keep:])
         elif kind == "secret":
             hexed = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", canonical) else "0123456789ABCDEF" if re.fullmatch("[0-9A-F]+", canonical) else None
             head = re.match(r"AKIA|gh[pousr]_|sk-|eyJ|", canonical).group()
-            new = head + "".join(hexed[s.below(16)] if hexed else _char(c, s) for c in canonical[len(head) :])
+            rest = canonical[len(head) :]
+            if not any(c.isalnum() for c in rest):  # a masked one
+                rest = "".join("bae7"[i % 4] for i in range(len(rest)))
+            rest += "b7" * wide
+            new = head + ("".join(hexed[s.below(16)] for _ in rest) if hexed else like(rest))
         elif kind == "card":
-            new = canonical[0] + "".join(str(s.below(10)) for _ in canonical[1:-1])
+            new = canonical[0] + digits(len(canonical) - 2 + wide)
             valid = _luhn(canonical) == 0
             last = [str(d) for d in range(10) if (_luhn(new + str(d)) == 0) == valid]
             new += last[s.below(len(last))]
@@ -144,49 +200,64 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
             a, b, *_ = map(int, canonical.split("."))
             fixed = 1 if a in (0, 10, 127) or a >= 224 else 2 if (a, b) in ((192, 168), (169, 254)) or a == 172 and 16 <= b < 32 else 0
             head = canonical.split(".")[:fixed] or [str([x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)][s.below(218)])]
-            new = ".".join(head + [str(s.below(256)) for _ in range(3)][: 4 - len(head)])
+            if wide and fixed:
+                head = ["10"]
+            new = ".".join(head + [str(s.below(256)) for _ in range(4 - len(head))])
+            if wide >= 4:
+                new = "2001:db8:" + ":".join(f"{s.below(1 << 16):x}" for _ in range(6))
         elif kind == "phone":
             head = canonical[:1] if len(canonical) > 10 else ""
-            new = head + str(2 + s.below(8)) + "".join(str(s.below(10)) for _ in canonical[len(head) + 1 :])
+            new = head + str(2 + s.below(8)) + digits(len(canonical) - len(head) - 1 + wide)
         elif kind == "iban":
-            body = "".join(_char(c, s) for c in canonical[4:])
+            body = like(canonical[4:] + "0" * wide)
             number = "".join(str(int(c, 36)) for c in body + canonical[:2])
             new = f"{canonical[:2]}{98 - int(number + '00') % 97:02d}{body}"
-        elif kind.startswith("first_"):
+        elif kind.startswith("first_") and (script := _script(canonical)):
             gender = kind[-1] if kind[-1] != "n" else "fm"[s.below(2)]
-            pool = FIRST[_script(canonical), gender]
+            pool = FIRST[script, gender]
             new = pool[s.below(len(pool))].lower()
             if attempt or salt:  # beyond the list: a double name
-                new += "-" + pool[s.below(len(pool))].lower() + "".join(_char("b" if i % 2 else "a", s) for i in range(min(attempt, 8) // 2))
+                new += "-" + pool[s.below(len(pool))].lower() + like(new[0] * wide)
         else:
-            new = "".join(_char(c, s) for c in canonical)
+            new = like(canonical)
+            if wide:
+                new += like("ab" * wide if canonical[-1] < "\x80" else canonical[-1] * wide)
         if new != canonical:
             return new
-    raise ValueError(f"no surrogate for a {kind}")
+        salt += 1
+
+
+def _title(name: str) -> str:
+    return "-".join(p[:1].upper() + p[1:] for p in name.split("-"))
 
 
 def written(kind: str, mention: str, new: str) -> str:
-    """A new canonical form in the layout and case of a mention."""
+    """A new canonical form in the layout and case of a mention; what a wider one has more stands at the end."""
     if kind in ("card", "phone", "ssn", "iban"):
         it = iter(new)
-        return "".join(next(it) if c.isalnum() else c for c in mention)
-    if kind.startswith("first_") or kind == "family":
-        if kind == "family" and len(new) == len(mention):
-            return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new, strict=True))
-        return new.upper() if mention.isupper() and len(mention) > 1 else "-".join(p[:1].upper() + p[1:] for p in new.split("-"))
-    if kind == "email":
+        last = max((i for i, c in enumerate(mention) if c.isalnum()), default=-1) + 1
+        return "".join(next(it) if c.isalnum() else c for c in mention[:last]) + "".join(it) + mention[last:]
+    if kind == "family" and len(new) == len(mention):
         return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new, strict=True))
+    if kind == "family" or kind.startswith("first_"):
+        return new.upper() if mention.isupper() and len(mention) > 1 else _title(new)
+    if kind == "email":
+        if len(new) == len(mention):
+            return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new, strict=True))
+        return new.upper() if mention.isupper() else new
     return new
 
 
-#: Of first names: female, male, not known.
-GENDERS = "fmn"
 FOUND = "array<struct<start: long, stop: long, kind: string, canonical: string>>"
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string()), ("canonical", pa.string())]))
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and the mentions of every row: array of start, stop (code points), kind, canonical. Null has none."""
+    """id_col and the mentions of every row: array of start, stop (code points), kind, canonical.
+
+    Null and empty texts have none; a long text is read whole. Rows may repeat; an empty table gives no rows; other
+    columns are ignored.
+    """
 
     def run(batches):
         for batch in batches:
@@ -197,10 +268,17 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(real_id().alias(id_col), "mentions")
 
 
-def assignments(found: DataFrame, key: bytes, most_rounds: int = 20) -> DataFrame:
-    """kind, canonical, attempt, surrogate of all distinct entities (kind, canonical); surrogates differ from each other and from all entities of a kind.
+def _of_names(kind):
+    return (kind == "family") | kind.startswith("first_")
+
 
-    All first names are one kind here: each has the gender that most of its titles tell, else the one whose list has it.
+def assignments(found: DataFrame, key: bytes) -> DataFrame:
+    """kind, canonical, attempt, surrogate of all distinct entities (kind, canonical, and n if they are counted already).
+
+    Surrogates differ from each other and from all entities of a kind; all names are one kind here. A name is a first
+    name if it stands as one at least as often as last, with the gender that most of its titles tell, else the one whose
+    list has it; otherwise a family name. Repeated entities count; an empty table gives no rows. Each round draws again what
+    collides, wider, until nothing does.
     """
 
     @F.pandas_udf("string")
@@ -211,83 +289,92 @@ def assignments(found: DataFrame, key: bytes, most_rounds: int = 20) -> DataFram
         return df.withColumn("surrogate", drawn("kind", "canonical", "attempt"))
 
     told = found.groupBy("kind", "canonical").agg((F.sum("n") if "n" in found.columns else F.count("*")).alias("n"))
-    first = F.col("kind").startswith("first_")
-    times = lambda g: F.sum(F.when(F.col("kind") == f"first_{g}", F.col("n")).otherwise(0)).alias(g)
+    name = _of_names(F.col("kind"))
+    times = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
     listed = lambda g: F.col("canonical").isin([x.lower() for (_, h), names in FIRST.items() if h == g for x in names])
-    gender = F.when(F.expr("f > m"), "f").when(F.expr("m > f"), "m").when(listed("f"), "f").when(listed("m"), "m").when(F.expr("f > 0"), "f").otherwise("n")
-    names = told.where(first).groupBy("canonical").agg(times("f"), times("m")).select(F.concat(F.lit("first_"), gender).alias("kind"), "canonical")
-    known = cut_lineage(draw(told.where(~first).select("kind", "canonical").unionByName(names).withColumn("attempt", F.lit(0))))
-    one = F.when(first, "first").otherwise(F.col("kind")).alias("one")
-    for _ in range(most_rounds):
-        own = F.row_number().over(Window.partitionBy("one", "surrogate").orderBy("attempt", "canonical"))
-        entity = known.select(one, F.col("canonical").alias("surrogate"), F.lit(True).alias("taken"))
-        marked = known.withColumn("one", one).withColumn("n", own).join(entity, ["one", "surrogate"], "left").withColumn("again", (F.col("n") > 1) | F.col("taken").isNotNull())
-        again = marked.where("again").count()
-        if not again:
+    f, m, n, family = (F.col(k) for k in ("first_f", "first_m", "first_n", "family"))
+    gender = F.when(f > m, "f").when(m > f, "m").when(listed("f"), "f").when(listed("m"), "m").when(f > 0, "f").otherwise("n")
+    names = told.where(name).groupBy("canonical").agg(*map(times, ("first_f", "first_m", "first_n", "family")))
+    names = names.select(F.when(f + m + n >= family, F.concat(F.lit("first_"), gender)).otherwise("family").alias("kind"), "canonical")
+    known = cut_lineage(draw(told.where(~name).select("kind", "canonical").unionByName(names).withColumn("attempt", F.lit(0))))
+    one = F.when(name, "name").otherwise(F.col("kind")).alias("one")
+    while True:  # ends, as forms get wider with each draw
+        marked = known.withColumn("one", one)
+        first = marked.groupBy("one", "surrogate").agg(F.min(F.struct("attempt", "canonical"))["canonical"].alias("holder"))
+        entity = marked.select("one", F.col("canonical").alias("surrogate"), F.lit(True).alias("taken"))
+        marked = marked.join(first, ["one", "surrogate"]).join(entity, ["one", "surrogate"], "left")
+        marked = marked.withColumn("again", (F.col("holder") != F.col("canonical")) | F.col("taken").isNotNull())
+        if marked.where("again").isEmpty():
             return known
         known = cut_lineage(draw(marked.select("kind", "canonical", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))))
-    raise RuntimeError("surrogates stay in collision")
 
 
-def pseudonymise(docs: DataFrame, key: bytes | str, id_col: str = "doc_id", text_col: str = "text", n_col: str | None = "n_entities") -> DataFrame:
+#: Bytes of entities with another draw than their first that go to all workers at once.
+BROADCAST = 8_000_000
+
+
+def pseudonymise(docs: DataFrame, key: bytes | str, id_col: str = "doc_id", text_col: str = "text", n_col: str | None = "n_entities", broadcast: int = BROADCAST) -> DataFrame:
     """All rows and columns, with the text's entities replaced; n_col: the number of mentions, if not None.
 
-    A null text stays null and an empty one empty; texts without entities don't change. Rows may repeat; an empty table
-    gives no rows. Other columns stay as they are.
+    A null text stays null and an empty one empty; texts without entities don't change; a long text is read whole. Rows may
+    repeat; an empty table gives no rows. Other columns stay as they are; where one of them is called n_col, the number's
+    name gets underscores until it is free.
     """
     key = key.encode() if isinstance(key, str) else key
+    while n_col in docs.columns:
+        n_col += "_"
     found = detect(docs, id_col, text_col).select(F.explode("mentions").alias("m")).select("m.kind", "m.canonical")
     found = cut_lineage(found.groupBy("kind", "canonical").agg(F.count("*").alias("n")))
     known = assignments(found, key)
-    first = F.col("kind").startswith("first_")
-    redrawn = known.where(~first & (F.col("attempt") > 0)).select("kind", "canonical", "attempt")
-    # a first name may be met with other titles than its gender's: three times the attempt and the place in GENDERS
-    named = known.where(first).withColumn("met", F.explode(F.array(*[F.lit(f"first_{g}") for g in GENDERS]))).where("attempt > 0 OR met != kind")
-    named = named.join(found.where(first).select(F.col("kind").alias("met"), "canonical").distinct(), ["met", "canonical"], "left_semi")
-    place = F.instr(F.lit(GENDERS), F.substring("kind", -1, 1)) - 1
-    redrawn = cut_lineage(redrawn.unionByName(named.select(F.col("met").alias("kind"), "canonical", (3 * F.col("attempt") + place).cast("int").alias("attempt"))))
-    names = [f"_{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names)
-    text = names[docs.columns.index(text_col)]
-    rows = rows.withColumn("_again", F.lit(None).cast("map<string,int>"))
-    if not redrawn.isEmpty():
-        rows = _with_attempts(rows.drop("_again"), redrawn, text)
-    schema = with_fields(docs.toDF(*names).schema, **({"_n": "long"} if n_col else {}))
+    # entities that don't have the first draw of the kind they are met as
+    settled = F.struct(F.col("kind").alias("settled"), "attempt")
+    names = found.where(_of_names(F.col("kind"))).select("kind", "canonical").join(known.where(_of_names(F.col("kind"))).select("canonical", settled.alias("to")), "canonical")
+    changed = names.unionByName(known.where(~_of_names(F.col("kind"))).select("kind", "canonical", settled.alias("to"))).where("to.attempt > 0 OR to.settled != kind")
+    changed = cut_lineage(changed.select(F.concat_ws("\0", "kind", "canonical").alias("what"), F.concat_ws("\0", "to.settled", F.col("to.attempt").cast("string")).alias("to")))
+    size = changed.agg(F.sum(F.octet_length("what") + F.octet_length("to"))).first()[0] or 0
+    columns = [f"_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*columns)
+    text = columns[docs.columns.index(text_col)]
+    schema = with_fields(plain.schema, **({"_n": "long"} if n_col else {}))
+    everywhere = docs.sparkSession.sparkContext.broadcast(dict(changed.collect()) if size <= broadcast else {})
 
     def run(batches):
         draw = lru_cache(100_000)(lambda kind, canonical, attempt: surrogate(key, kind, canonical, attempt))
         for batch in batches:
             texts, counts = [], []
-            for t, again in zip(batch[text].to_pylist(), batch["_again"].to_pylist(), strict=True):
-                attempts = dict(again or ())
+            special = batch["_to"].to_pylist() if "_to" in batch.schema.names else [None] * len(batch)
+            for t, to in zip(batch[text].to_pylist(), special, strict=True):
+                to = everywhere.value if to is None else dict(to)
                 mentions = entities(t) if t else []
                 at, out = 0, []
                 for a, b, kind, canonical in mentions:
-                    attempt = attempts.get(f"{kind}\0{canonical}", 0)
-                    if kind.startswith("first_") and f"{kind}\0{canonical}" in attempts:
-                        attempt, place = divmod(attempt, 3)
-                        kind = f"first_{GENDERS[place]}"
-                    out += [t[at:a], written(kind, t[a:b], draw(kind, canonical, attempt))]
+                    kind, attempt = to.get(f"{kind}\0{canonical}", f"{kind}\0000").split("\0")
+                    out += [t[at:a], written(kind, t[a:b], draw(kind, canonical, int(attempt)))]
                     at = b
                 texts.append("".join([*out, t[at:]]) if mentions else t)
                 counts.append(len(mentions))
-            columns = [pa.array(texts, pa.string()) if c == text else batch[c] for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(counts, pa.int64())] * bool(n_col)], names=[*names, *["_n"] * bool(n_col)])
+            kept = [pa.array(texts, pa.string()) if c == text else batch[c] for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(counts, pa.int64())] * bool(n_col)], names=[*columns, *["_n"] * bool(n_col)])
 
-    return rows.mapInArrow(run, schema).toDF(*docs.columns, *[n_col] * bool(n_col))
+    if size <= broadcast:
+        out = plain.mapInArrow(run, schema)
+    else:
+        some = F.coalesce(F.octet_length(text), F.lit(0)) > 0
+        out = _with_changed(plain.where(some), changed, text).mapInArrow(run, schema).unionByName(plain.where(~some).mapInArrow(run, schema))
+    return out.toDF(*docs.columns, *[n_col] * bool(n_col))
 
 
-def _with_attempts(rows: DataFrame, redrawn: DataFrame, text: str) -> DataFrame:
-    """Adds to each row the attempts of its redrawn entities, looked up by the text's hash."""
-    mark = F.sha2(F.coalesce(text, F.lit("")), 256)
+def _with_changed(rows: DataFrame, changed: DataFrame, text: str) -> DataFrame:
+    """Adds to each row the map _to of its changed entities, looked up by the text's hash: distinct texts' entities travel, then rows."""
+    mark = F.sha2(text, 256)
 
     def run(batches):
         for batch in batches:
-            out = [(h, k, c) for h, t in zip(batch["mark"].to_pylist(), batch["t"].to_pylist(), strict=True) for _, _, k, c in entities(t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in (zip(*out, strict=True) if out else ([], [], []))], names=["mark", "kind", "canonical"])
+            out = {(h, f"{k}\0{c}") for h, t in zip(batch["mark"].to_pylist(), batch["t"].to_pylist(), strict=True) for _, _, k, c in entities(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in (zip(*out, strict=True) if out else ([], []))], names=["mark", "what"])
 
-    met = rows.select(mark.alias("mark"), F.col(text).alias("t")).mapInArrow(run, "mark string, kind string, canonical string").distinct()
-    found = met.join(redrawn, ["kind", "canonical"]).groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "canonical"), "attempt"))).alias("_again"))
+    met = rows.select(mark.alias("mark"), F.col(text).alias("t")).mapInArrow(run, "mark string, what string").distinct()
+    found = met.join(changed, "what").groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("what", "to"))).alias("_to"))
     return rows.withColumn("mark", mark).join(found, "mark", "left").drop("mark")
 
 

@@ -1,9 +1,10 @@
 """Quality rules: counts of words, symbols and repeated lines, and suffix-array repetition.
 
 For repetition, a suffix array over words orders the places whose first words occur twice in their
-document. Common prefixes of neighbours in it are the intervals' depths: the longest repeat that
-starts at each place. Such maximal repeats of some length on are laid over the document; the
-share of words under their union, and the longest of them, are limited.
+document. Its longest-common-prefix intervals are the repeated substrings: an interval whose places
+follow different words is a maximal repeat. The spans of maximal repeats of some length on are laid
+over the document; the share of words under their union, and the longest of them, are limited.
+Words and lines are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WHITE, chunks, id_and_text, read, real_id, utf8, words_of
+from .common import IS_WHITE, chunks, id_and_text, interned, pair_numbers, read, real_id, utf8, words_of
 from .sais import _by_doubling
-from .shared_spans import _BYTE, _kgrams, _mix, _spans_hash
+from .shared_spans import _BYTE, _spans_hash
 
 _CHAR = np.array([not IS_WHITE[b] and (b & 0xC0) != 0x80 for b in range(256)])
 _SYMBOL = np.zeros(256, bool)
@@ -41,18 +42,49 @@ def _count(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def _distinct(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """A class number for each (row, h); equal pairs have equal numbers."""
-    x = _mix(h + _mix(row.astype(np.uint64) + np.uint64(1)))
-    _, number = np.unique(x, return_inverse=True)
-    return number
+def innermost(text: np.ndarray, order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """By place, the depth of the innermost maximal interval of `least` or more that has it; 0 if none has.
 
-
-def repeats(names: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """The longest repeat from each place, in symbols. names: dense from 0; run: numbers of stretches, sorted."""
+    common: by rank, the common prefix with the rank before. An interval is a run of ranks that share `depth` symbols and
+    no more; it is maximal if its places don't all follow the same symbol. Longer repeats from a place hide shorter ones,
+    whose spans lie within theirs. Each rank is taken by the first maximal interval that closes around it.
+    """
+    ranks = np.flatnonzero(common >= least)
+    got = np.zeros(len(order), np.int64)
+    if not len(ranks):
+        return got
+    place = order.astype(np.int64)
+    before = np.where(place > 0, text[place - 1], -1)
+    changes = np.zeros(len(order), np.int64)
+    changes[1:] = np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))
+    cuts = np.flatnonzero(np.diff(ranks) > 1) + 1
+    depths, changed = common.tolist(), changes.tolist()
+    for part in np.split(ranks, cuts):
+        first, last = int(part[0]) - 1, int(part[-1])
+        open_: list[tuple[int, int]] = []  # depth and first rank of the intervals open, the innermost last
+        free: list[int] = [first]
+        for r in range(first + 1, last + 2):
+            depth = depths[r] if r <= last else 0
+            left = r - 1
+            while open_ and open_[-1][0] > depth:
+                d, left = open_.pop()
+                if changed[r - 1] > changed[left]:
+                    while free and free[-1] >= left:
+                        got[place[free.pop()]] = d
+            if depth and (not open_ or open_[-1][0] < depth):
+                open_.append((depth, left))
+            free.append(r)
+    return got
+
+
+def repeats(names: np.ndarray, run: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """From each place, the longest repeat and the longest maximal repeat of `least` or more, in symbols (0: none).
+
+    names: dense from 0; run: numbers of stretches, sorted.
+    """
     n = len(names)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     last = np.ones(n, bool)
     last[:-1] = run[1:] != run[:-1]
     place = np.arange(n) + np.cumsum(last) - last  # one end symbol after each stretch
@@ -80,7 +112,7 @@ def repeats(names: np.ndarray, run: np.ndarray) -> np.ndarray:
     common = np.maximum(np.maximum.accumulate(value) - np.arange(m), 0)
     best = common.copy()
     best[order[:-1]] = np.maximum(best[order[:-1]], common[order[1:]])
-    return best[place]
+    return best[place], innermost(text, order, common[order], least)[place]
 
 
 SCHEMA = pa.schema([("id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "n_covered"))])
@@ -103,27 +135,29 @@ def measures(buf: np.ndarray, ends: np.ndarray, rules: Rules) -> list[np.ndarray
     line_stops = line_stops - (buf[line_stops - 1] == 10)
     symbols = _BYTE[buf]
     line_row = np.searchsorted(ends, line_starts, "right") - 1
-    kinds = _distinct(line_row, _spans_hash(symbols, line_starts, line_stops))
+    kinds = pair_numbers(line_row, interned(buf, line_starts, line_stops, _spans_hash(symbols, line_starts, line_stops)))
     new = np.zeros(len(kinds), bool)
     new[np.unique(kinds, return_index=True)[1]] = True
     n_dup = np.bincount(line_row[~new], minlength=n)
     n_repeat, longest, covered = (np.zeros(n, np.int64) for _ in range(3))
     w = rules.window
     if len(starts) >= w:
-        grams = _kgrams(_spans_hash(symbols, starts, stops), w)
-        at = np.flatnonzero(row[: len(grams)] == row[w - 1 :])
-        names = _distinct(row[at], grams[at])
+        words = interned(buf, starts, stops, _spans_hash(symbols, starts, stops))
+        at = np.flatnonzero(row[: len(row) - w + 1] == row[w - 1 :])
+        names = row[at]
+        for i in range(w):
+            names = pair_numbers(names, words[at + i])
         often = np.bincount(names)[names] > 1 if len(at) else np.zeros(0, bool)
         at, names = at[often], names[often]
         under = lambda a, size: np.cumsum(np.bincount(a, minlength=len(row) + 1) - np.bincount(a + size, minlength=len(row) + 1))[:-1] > 0
         if len(at):
             n_repeat = np.bincount(row[under(at, w)], minlength=n)
             run = np.cumsum(np.r_[False, (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])])
-            size = repeats(np.unique(names, return_inverse=True)[1], run) + w - 1
-            np.maximum.at(longest, row[at], size)
-            long = size >= rules.repeat_from
+            size, maximal = repeats(np.unique(names, return_inverse=True)[1], run, max(1, rules.repeat_from - w + 1))
+            np.maximum.at(longest, row[at], size + w - 1)
+            long = maximal > 0
             if long.any():
-                covered = np.bincount(row[under(at[long], size[long])], minlength=n)
+                covered = np.bincount(row[under(at[long], maximal[long] + w - 1)], minlength=n)
     return [n_words, _count(_CHAR[buf], ends), _count(_SYMBOL[buf], ends), n_dup, n_repeat, longest, covered]
 
 

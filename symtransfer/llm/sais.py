@@ -140,7 +140,7 @@ def _by_doubling(names: np.ndarray) -> np.ndarray:
 
 
 #: A reduced text of so many names is sorted by doubling.
-SMALL = 1 << 15
+SMALL = 1 << 17
 
 
 def _reduced_order(names: np.ndarray, n: int) -> np.ndarray:

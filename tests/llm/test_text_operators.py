@@ -6,9 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from symtransfer.llm import bpe, exact_dedup, packing, pii, quality, simhash
 from symtransfer.llm.license_scan import SENTENCES, license_scan
+from test_shared_spans import thue_morse
 
 SF = "/root/testdata/sf0.001"
 EDGE = [
@@ -81,6 +83,36 @@ def test_quality_against_brute_force(spark):
     assert sorted(((r.doc_id, *(r[n] for n in names)) for r in got), key=key) == sorted(((i, *measured(t, rules)) for i, t in rows), key=key)
 
 
+def test_quality_tells_words_and_lines_with_equal_hashes_apart(spark):
+    x, y = thue_morse(4096)
+    rows = [(1, f"{x}\n{y}\n{x}"), (2, f"A {x} {y} B {x} {y}"), (3, f"A {x} B {y} A {y} B {x}"), (4, f"{x} {x} {y} {y} " * 3)]
+    got = {r.doc_id: (r.n_dup_lines, r.n_repeat_words, r.longest_repeat) for r in quality.quality(frame(spark, rows)).collect()}
+    want = {i: [measured(t, quality.Rules())[k] for k in (3, 4, 5)] for i, t in rows}
+    assert got == {i: tuple(w) for i, w in want.items()}
+
+
+def test_intervals_of_common_prefixes():
+    """Against all repeats by brute force: each suffix's innermost maximal interval, and which intervals there are."""
+    rng = random.Random(4)
+    for _ in range(200):
+        text = [rng.randint(1, 3) for _ in range(rng.randint(1, 40))] + [0]
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        common = [0] * len(order)
+        for k in range(1, len(order)):
+            a, b = order[k - 1], order[k]
+            while text[a + common[k]] == text[b + common[k]]:
+                common[k] += 1
+        least = rng.randint(1, 3)
+        depth = quality.innermost(np.array(text), np.array(order), np.array(common), least)
+        where = {}
+        for i in range(len(text)):
+            for j in range(i + least, len(text)):
+                where.setdefault(tuple(text[i:j]), []).append(i)
+        maximal = {w: p for w, p in where.items() if len(p) > 1 and len({text[i - 1] if i else -1 for i in p}) > 1 and len({text[i + len(w)] if i + len(w) < len(text) else -2 for i in p}) > 1}
+        want = [max((len(w) for w, p in maximal.items() if i in p), default=0) for i in range(len(text))]
+        assert depth.tolist() == want
+
+
 def test_quality_rejects_long_repeats_and_keeps_prose(spark):
     rng = random.Random(4)
     prose = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
@@ -365,6 +397,96 @@ def test_surrogates_are_redrawn_on_collision(spark, monkeypatch):
     assert not {r.surrogate for r in known} & {r.canonical for r in known}
 
 
+def replaced(spark, texts, **how):
+    rows = list(enumerate(texts))
+    return [r.text for r in sorted(pii.pseudonymise(frame(spark, rows), "k", **how).collect(), key=lambda r: r.doc_id)]
+
+
+def test_masked_secrets_get_a_drawn_form(spark):
+    texts = ['password = "********"', 'password: "........"', "pwd='--------'", 'password = "********"']
+    out = replaced(spark, texts)
+    assert out[0] == out[3] and len(set(out)) == 3
+    for t, o in zip(texts, out, strict=True):
+        assert len(o) == len(t) and not any(x in o for x in ("****", "....", "----"))
+
+
+def test_shapes_that_are_used_up_get_wider(spark):
+    names = [a + b for a in "BCDFGHKLMNPRSTW" for b in "aeio"]
+    out = replaced(spark, [f"Mr {x}" for x in names])
+    new = [t.split()[1] for t in out]
+    assert len(names) == len(set(new)) == 60 and not {x.lower() for x in new} & {x.lower() for x in names}
+    every = spark.range(65_536).selectExpr("'ip' AS kind", "concat('192.168.', id div 256, '.', id % 256) AS canonical")
+    known = pii.assignments(every, b"k").collect()
+    assert len({r.surrogate for r in known}) == 65_536
+    assert all(r.surrogate.startswith(("10.", "2001:db8:")) for r in known)
+
+
+def test_a_name_is_replaced_throughout_its_document(spark):
+    out = replaced(spark, [
+        "Mr John Miller called. Later John Miller left; JOHN MILLER, Miller's dog and Millers stay.", "John Miller of another text", "Mr John met Dr John Smith.", "Dr 王小明 left, 王小明说",
+        "Г-н Иван Петров. Иван Петров ушёл", "Prof محمد spoke; محمد left", "Mr Ng ordered Ng-soup at ng@mail.example.com",
+    ])
+    first, family = out[0].split()[1], out[0].split()[2]
+    assert out[0] == f"Mr {first} {family} called. Later {first} {family} left; {first.upper()} {family.upper()}, {family}'s dog and Millers stay."
+    assert out[1] == "John Miller of another text"
+    assert out[2].split()[1] == out[2].split()[4] == first
+    name = out[3].split()[1]
+    assert out[3] == f"Dr {name} left, {name}说" and len(name) == 3 and all("一" <= c <= "鿿" for c in name)
+    assert out[4].replace(".", "").split()[1:3] == out[4].split()[3:5] and "Иван" not in out[4] and "Петров" not in out[4]
+    arabic = out[5].split()[1]
+    assert out[5] == f"Prof {arabic} spoke; {arabic} left" and len(arabic) == 4 and all("\u0600" <= c <= "\u06ff" for c in arabic)
+    assert "ng@" not in out[6]
+
+
+def test_clashing_names_and_edge_rows(spark):
+    df = frame(spark).withColumn("n_entities", F.lit("mine"))
+    out = pii.pseudonymise(df, "k")
+    assert out.columns == [*df.columns, "n_entities_"]
+    key = lambda r: repr(r)
+    assert sorted(((r.doc_id, r.text, r.n_entities) for r in out.collect()), key=key) == sorted(((i, t, "mine") for i, t in EDGE), key=key)
+    assert {r.n_entities_ for r in out.collect()} == {0}
+
+
+def planted_private(rng, n):
+    """Texts made of words and private strings that the test itself knows, with the entity of each."""
+    first, family = ["Abel", "Berta", "Cyrus", "Doris", "Edgar"], ["Quandt", "Rhee", "Stolz", "Tamm", "Urbach", "Vance"]
+    for i in range(n):
+        hosts = [f"{rng.randint(20, 90)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 254)}" for _ in range(2)]
+        person = f"{rng.choice(first)} {rng.choice(family)}"
+        private = {
+            f"u{rng.randint(0, 999)}.x@mail{rng.randint(0, 9)}.example.com": "email", hosts[0]: "ip", hosts[1]: "ip", person: "person", f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}": "phone",
+            f"{rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}": "ssn", f"{rng.randint(4 * 10**15, 5 * 10**15 - 1)}": "card", "".join(rng.choices("0123456789abcdef", k=38)) + "a1": "secret",
+        }
+        parts = [f"Dr {x}" if k == "person" else x for x, k in private.items()]
+        rng.shuffle(parts)
+        yield " and so ".join([*parts, *rng.sample(parts, 2), person + " again"]), private
+
+
+@pytest.mark.parametrize("broadcast", [pii.BROADCAST, -1])
+def test_planted_private_strings(spark, broadcast):
+    """Every planted string goes; what stands between stays; one entity has one surrogate, and two have two, over all texts."""
+    rng = random.Random(17)
+    cases = list(planted_private(rng, 150))
+    out = replaced(spark, [t for t, _ in cases], broadcast=broadcast)
+    seen = {}
+    for (text, private), new in zip(cases, out, strict=True):
+        assert not any(part in new for x, k in private.items() for part in (x.split() if k == "person" else [x]))
+        before = [w for w in text.split(" and so ")]
+        after = new.split(" and so ")
+        assert len(before) == len(after)
+        for a, b in zip(before, after, strict=True):
+            a, b = a.removeprefix("Dr ").removesuffix(" again"), b.removeprefix("Dr ").removesuffix(" again")
+            for x, y in zip(*((a.split(), b.split()) if private.get(a) == "person" else ([a], [b])), strict=True):
+                assert seen.setdefault(x, y) == y
+    assert len(set(seen.values())) == len(seen)
+    assert not set(seen) & set(seen.values())
+
+
+def test_both_ways_of_changed_entities_agree(spark):
+    texts = [f"Mr {a}{b} met Mr Kim Lee, Dr Kim and Ms Lee Park" for a in "BCDFGHKLMNPRSTW" for b in "aeio"] + ["", "plain"]
+    assert replaced(spark, texts) == replaced(spark, texts, broadcast=-1)
+
+
 def test_every_document_loses_its_private_strings(spark):
     texts = dict(documents(spark))
     out = {r.doc_id: r for r in pii.op8_pii_surrogates(spark, SF).collect()}
