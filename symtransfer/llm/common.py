@@ -25,7 +25,10 @@ def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFram
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns id (long, NO_ID for null) and text (null as empty), after `keep` as _0, _1 ...; other columns go."""
+    """Columns id (long, NO_ID for null) and text (null as empty), after `keep` as _0, _1 ...; other columns go.
+
+    A row whose identifier is NO_ID itself counts as one without.
+    """
     return docs.select(
         *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)],
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"),
@@ -52,13 +55,22 @@ def text_bytes(rows: DataFrame) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    """The folder that all machines share: spark.checkpoint.dir. Only a local session, as in tests, may do without; it gets a temporary one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shared"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table, wherever Spark's file systems have it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

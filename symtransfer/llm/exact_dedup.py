@@ -13,7 +13,7 @@ import hashlib
 import os
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -27,15 +27,16 @@ Value = tuple  # characters (negated), identifier, rows, digest, and what else b
 
 
 def merge(a: Value, b: Value) -> Value:
-    best = a if a[:2] <= b[:2] else b
+    """Rows that tie in characters and identifier are told apart by the rest of their values, whichever comes first."""
+    best = a if a[:2] < b[:2] or a[:2] == b[:2] and (a[3:] == b[3:] or repr(a[3:]) <= repr(b[3:])) else b
     return (*best[:2], a[2] + b[2], *best[3:])
 
 
 class PatriciaTrie:
-    """Byte strings to values; equal strings merge theirs."""
+    """Byte strings to values; equal strings merge theirs. weigh: a value's bytes in memory, about."""
 
-    def __init__(self, limit: int) -> None:
-        self.limit, self.size = limit, 0
+    def __init__(self, limit: int, weigh: Callable[[Value], int] = lambda value: 200) -> None:
+        self.limit, self.size, self.weigh = limit, 0, weigh
         self.root: list = [{}, None]  # children by first byte: [edge, node]; value
         self.spilled: dict[bytes, object] = {}
 
@@ -59,7 +60,8 @@ class PatriciaTrie:
                 node[0][key[at]] = [edge[:n], middle]
                 self.size += 400
                 node, at = middle, at + n
-        node[1] = value if node[1] is None else merge(node[1], value)
+        had, node[1] = node[1], value if node[1] is None else merge(node[1], value)
+        self.size += self.weigh(node[1]) - (0 if had is None else self.weigh(had))
         if self.size > self.limit:
             self._spill()
 
@@ -79,7 +81,7 @@ class PatriciaTrie:
             prefix += edge
         if len(node[0]) + (node[1] is not None) < 2:
             return
-        weights = {b: sum(len(k) - len(prefix) + 400 for k, _ in self._walk(child, prefix + edge)) for b, (edge, child) in node[0].items()}
+        weights = {b: sum(len(k) - len(prefix) + 400 + self.weigh(v) for k, v in self._walk(child, prefix + edge)) for b, (edge, child) in node[0].items()}
         b = max(weights, key=weights.__getitem__)
         edge, child = node[0].pop(b)
         file = self.spilled[prefix + bytes([b])] = tempfile.TemporaryFile()
@@ -93,7 +95,7 @@ class PatriciaTrie:
         self.root, self.size = [{}, None], 0
         files, self.spilled = self.spilled, {}
         for file in files.values():
-            part = PatriciaTrie(self.limit)
+            part = PatriciaTrie(self.limit, self.weigh)
             with file:
                 file.seek(0)
                 while True:
@@ -188,7 +190,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory_mb: float = 96.0, part_mb: float = 24.0) -> DataFrame:
-    """Of rows that exact_duplicates() finds equal, the one to keep, with all its columns: one row of each group, also where rows repeat."""
+    """Of rows that exact_duplicates() finds equal, the one to keep, with all its columns: one row of each group, also where rows repeat.
+
+    Null counts as empty, and a null identifier ranks last; rows with one identifier and as many characters are told apart
+    by their content. An empty table gives no rows; columns may have any names; long texts are keys as a whole.
+    """
     names = [f"_{i}" for i in range(len(docs.columns))]
     text, own = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     limit = int(memory_mb * 1e6)
@@ -202,6 +208,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
             key = _normal(t)
             yield key, (-len(t), NO_ID if i is None else i, 1, len(key), xxhash.xxh64_intdigest(key) >> 1, row)
 
+    def weigh(value):
+        return 500 + 2 * -value[0]
+
     def batches_of(trie, schema, entries):
         out, size = [], 0
         for key, value in trie.items():
@@ -214,7 +223,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
             yield _batch(schema, out)
 
     def collapse(batches):
-        trie, schema = PatriciaTrie(1 << 62), None
+        trie, schema = PatriciaTrie(1 << 62, weigh), None
         for batch in batches:
             schema = pa.schema([("size", pa.int64()), ("hash", pa.int64()), *batch.schema])
             for key, value in values(batch):
@@ -225,7 +234,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
             yield from batches_of(trie, schema, True)
 
     def owners(batches):
-        trie, schema = PatriciaTrie(limit), None
+        trie, schema = PatriciaTrie(limit, weigh), None
         for batch in batches:
             batch = batch.select(names)
             schema = batch.schema

@@ -49,7 +49,8 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` tokens: id, piece, start, length, ids (little-endian unsigned 32-bit).
 
-    A document is its text's ids and then the id `end`; only longer ones are cut. Null is the empty text.
+    A document is its text's ids and then the id `end`; only longer ones are cut. Null is the empty text. Rows may repeat;
+    an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):
@@ -69,9 +70,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0,
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, groups: int) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length from 1 to capacity."""
+    """Adds sequence_id and offset to rows with a length from 1 to capacity; an empty table gives no rows.
+
+    Rows are dealt into groups by identifier, place and content, so one identifier for many rows, or none, does no harm.
+    """
     schema = with_fields(pieces.schema, sequence_id="long", offset="long")
-    pieces = pieces.withColumn("_g", F.pmod(F.xxhash64(*[c for c in pieces.columns if c in ("id", "piece", "start")]), F.lit(groups)).cast("int"))
+    pieces = pieces.withColumn("_g", F.pmod(F.xxhash64(*[c for c in pieces.columns if c in ("id", "piece", "start", "length", "ids_crc32")]), F.lit(groups)).cast("int"))
 
     def of_group(key, table):
         number, offset = pack(table["length"].to_numpy(), capacity)

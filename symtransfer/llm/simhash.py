@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut_lineage, id_and_text, read, real_id, utf8, words_of
+from .common import NO_ID, chunks, cut_lineage, id_and_text, interned, read, real_id, utf8, words_of
 from .shared_spans import _BYTE, _kgrams, _mix, _spans_hash
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -100,9 +100,11 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 def links_in(cell: np.ndarray, fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest, by cell, of the links at `distance` bits or less. cell: sorted; fp: unsigned.
 
-    A cell's fingerprints are compared with the next 64 of their cell; in a larger one, all that
-    share a value at one flipped bit are within 2 bits of each other and join its first.
+    A cell's fingerprints are compared with the next 64 of their cell. In a larger one, all that share a value
+    at one flipped bit are within 2 bits of each other and join its first, or, at distance 1, the one that has the value.
     """
+    if distance == 0:  # distinct fingerprints
+        return []
     n = len(fp)
     new = np.ones(n, bool)
     new[1:] = cell[1:] != cell[:-1]
@@ -123,11 +125,13 @@ def links_in(cell: np.ndarray, fp: np.ndarray, distance: int) -> list[tuple[int,
         if m > 64:
             value = (fp[s : s + m, None] ^ flips).ravel()
             member = np.repeat(np.arange(s, s + m), 65)
-            order = np.lexsort((member, value))
-            value, member = value[order], member[order]
+            flipped = np.tile(flips != 0, m)
+            order = np.lexsort((member, flipped, value))
+            value, member, flipped = value[order], member[order], flipped[order]
             first = np.r_[True, value[1:] != value[:-1]]
-            head = member[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            pairs.append(np.stack([head[~first], member[~first]], 1))
+            head = np.flatnonzero(first)[np.cumsum(first) - 1]
+            joined = ~first & (~flipped[head] | (distance == 2))
+            pairs.append(np.stack([member[head[joined]], member[joined]], 1))
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -219,9 +223,14 @@ SKETCH = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("fp", pa.int64())
 
 def _shingles(buf: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of lower-cased words, and their rows in order; a shorter row has one of all its words."""
+    import xxhash
+
     buf = _LOWER[buf]
     starts, stops, row = words_of(buf, ends)
-    words = _spans_hash(_BYTE[buf], starts, stops)
+    number = interned(buf, starts, stops, _spans_hash(_BYTE[buf], starts, stops))
+    raw, one = buf.tobytes(), np.unique(number, return_index=True)[1]
+    # sums of these mixed values make the shingles' hashes, so no two chosen words can cancel out
+    words = np.array([xxhash.xxh64_intdigest(raw[i:j], 11) for i, j in zip(starts[one].tolist(), stops[one].tolist(), strict=True)], np.uint64)[np.unique(number, return_inverse=True)[1]]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(row))
     short = last - first < shingle
@@ -317,7 +326,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     s share one with probability 1 - (1 - s^sample)^tables, 0.998 at the defaults. Each candidate is first compared with
     the first and the last of those it meets; where four or more meet and don't all become one group, an exact prefix
     filter finds the other pairs between the groups, so no group makes all its pairs and no similar pair that shares
-    a draw is left out. Texts without words have no links.
+    a draw is left out. Texts without words have no links, null and empty ones among them. Rows that repeat identifier and
+    text are one node; a null identifier ranks last; an empty table gives no rows; other columns are ignored.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("node", F.xxhash64("id", "text"))
     own = cut_lineage(rows.mapInArrow(_sketches(shingle, tables, sample), "id long, node long, fp long, tables array<long>"))
@@ -353,10 +363,15 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
 
 def keep_one_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **draws) -> DataFrame:
-    """All rows and columns but those of similar_components() that are not kept: the smallest identifier of each group stays."""
-    gone = similar_components(docs, similarity, shingle, id_col=id_col, text_col=text_col, **draws).where("NOT kept").select(F.col("node").alias("_gone"))
-    plain = id_and_text(docs, id_col, text_col, tuple(docs.columns)).withColumn("_gone", F.xxhash64("id", "text")).drop("id", "text")
-    return plain.join(gone, "_gone", "left_anti").drop("_gone").toDF(*docs.columns)
+    """All rows and columns but those of similar_components() that are not kept: the smallest identifier of each group stays.
+
+    Texts without words, null and empty ones all stay. Rows that repeat identifier and text are one document, which stays or
+    goes with all its rows; of equal texts with one identifier in different spelling one stays, by a hash. An empty table
+    gives no rows; other columns stay whatever their names. Long texts are compared whole.
+    """
+    gone = similar_components(docs, similarity, shingle, id_col=id_col, text_col=text_col, **draws).where("NOT kept").select(F.col("node").alias("_gone"), F.coalesce("id", F.lit(NO_ID)).alias("_id"))
+    plain = id_and_text(docs, id_col, text_col, tuple(docs.columns)).withColumn("_gone", F.xxhash64("id", "text")).withColumnRenamed("id", "_id").drop("text")
+    return plain.join(gone, ["_gone", "_id"], "left_anti").drop("_gone", "_id").toDF(*docs.columns)
 
 
 def op9_simhash_popcount_grid(spark, sf_dir):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut_lineage, read
 
 # The query's dated entries (list, host, action, day).
 ENTRIES = [
@@ -30,6 +30,12 @@ ENTRIES = [
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
+#: Bytes of listed hosts and their intervals that go to all executors at once; beyond them, hosts with more captures than HOT are dealt into SALTS parts.
+BROADCAST = 16_000_000
+HOT = 1_000_000
+SALTS = 64
+
+
 def host_of(url):
     """In lower case, without a trailing dot; null if there is none."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.+$", "")
@@ -70,9 +76,19 @@ def _joined(rows: DataFrame, packed: DataFrame) -> DataFrame:
     # hosts and their domains are few against captures: each distinct host meets the lists once
     hosts = rows.select("host").dropna().distinct().withColumn("domain", F.explode(domains_of(F.col("host"))))
     listed = hosts.join(packed.withColumnRenamed("host", "domain"), "domain").groupBy("host").agg(F.flatten(F.collect_list("intervals")).alias("intervals"))
+    # only hosts that are on a list; where they are few, a host with a third of all captures needn't meet its row in one task
+    listed = cut_lineage(listed)
+    size = listed.agg(F.sum(F.octet_length("host") + 40 * F.size("intervals"))).first()[0] or 0
+    if size <= BROADCAST:
+        listed = F.broadcast(listed)
+    else:
+        salt = F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")
+        hot = rows.groupBy("host").count().where(F.col("count") > HOT).select("host")
+        listed = listed.join(hot.withColumn("hot", F.lit(True)), "host", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+        rows = rows.join(hot.withColumn("hot", F.lit(True)), "host", "left").withColumn("salt", F.when(F.col("hot"), salt).otherwise(0)).drop("hot")
     active = F.filter("intervals", lambda x: (x["valid_from"] <= F.col("at")) & (x["valid_to"].isNull() | (F.col("at") < x["valid_to"])))
     lists = F.coalesce(F.array_sort(F.array_distinct(F.transform(active, lambda x: x["list"]))), F.array().cast("array<string>"))
-    return rows.join(listed, "host", "left").withColumn("lists", lists)
+    return rows.join(listed, [c for c in ("host", "salt") if c in listed.columns], "left").withColumn("lists", lists)
 
 
 def sample_entries(spark: SparkSession) -> DataFrame:

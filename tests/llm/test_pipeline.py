@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from test_shared_spans import thue_morse
 from test_text_operators import measured
 
 from symtransfer.llm import bpe, pii, quality
@@ -130,3 +131,55 @@ def test_near_copies_within_a_template_family(spark):
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
     got = {r.id: r.keep_id for r in similar_components(df).collect()}
     assert {i: got.get(i, i) for i in want} == want
+
+
+def test_recall_against_exact_similarity(spark):
+    """Over all documents: of the pairs at 0.8 or more, by tenth of similarity above, how many are in one group."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {i: shingles(t or "") for i, t in rows}
+    having = {}
+    for i, s in sets.items():
+        for x in s:
+            having.setdefault(x, []).append(i)
+    shared = {}
+    for ids in having.values():
+        for k, a in enumerate(ids):
+            for b in ids[:k]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    similar = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    got = {r.id: r.keep_id for r in similar_components(df).collect()}
+    found = {}
+    for (a, b), s in similar.items():
+        if s >= 0.8:
+            found.setdefault(min(int(s * 10), 9), []).append(got.get(a, a) == got.get(b, b))
+    assert sum(map(len, found.values())) > 20
+    assert all(sum(x) >= 0.9 * len(x) for x in found.values()), {k: (sum(x), len(x)) for k, x in found.items()}
+    # nothing is in a group that no chain of similar pairs joins
+    links = {}
+    for (a, b), s in similar.items():
+        if s >= 0.8:
+            links.setdefault(a, set()).add(b)
+            links.setdefault(b, set()).add(a)
+    assert set(got) <= set(links)
+
+
+def test_words_with_equal_hashes_are_not_similar(spark):
+    x, y = thue_morse(4096)
+    five = [f"w{i}" for i in range(5)]
+    rows = [(1, f"{x} {' '.join(five)}"), (2, f"{y} {' '.join(five)}"), (3, f"{x} {' '.join(five)}.")]
+    rows = [(i, t + " " + " ".join([x if i == 1 else y] * 20)) for i, t in rows]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    want = groups(rows)
+    got = {r.id: r.keep_id for r in similar_components(df).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_edge_rows_and_empty_tables_through_all_stages(spark, tmp_path):
+    """Nulls in any column, equal identifiers, repeated rows, very long words, and no rows at all."""
+    long = "x" * 300_000 + " " + " ".join(f"w{i}" for i in range(400))
+    rows = [(None, None, None, None, None), (None, None, None, None, None), (1, "", None, "s", 0), (1, long, "en", None, 5), (1, long, "en", None, 5), (2, long.replace("w7 ", "v7 "), "en", "s", None), (None, "\x00 \n", "", "", 1)]
+    for name, given in (("some", rows), ("none", [])):
+        spark.createDataFrame(given, SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in out} == ({1} if given else set())

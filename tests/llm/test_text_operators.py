@@ -310,6 +310,56 @@ def test_links_of_crowded_and_chained_fingerprints(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2])
+def test_crowded_cells_respect_the_distance(distance):
+    centre = 0x0123456789ABCDEF
+    crowd = [centre ^ 1 << i ^ 1 << j for i in range(16) for j in range(i)] + [centre ^ 1 << i for i in range(0, 16, 5)]
+    fp = np.array(sorted(crowd), np.uint64)
+    root = list(range(len(fp)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = {frozenset((i, j)) for i in range(len(fp)) for j in range(i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= distance}
+    for i, j in simhash.links_in(np.zeros(len(fp), np.int64), fp, distance):
+        assert frozenset((i, j)) in want or distance == 2
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    assert all(find(i) == find(j) for i, j in want)
+    if distance < 2:
+        assert len({find(i) for i in range(len(fp))}) == len(fp) - len(want) + (0 if distance == 0 else len(want) - sum(find(i) != i for i in range(len(fp))))
+
+
+def test_which_of_tied_rows_stays_is_fixed(spark):
+    rows = [(5, "a b"), (5, "a\tb"), (5, "a\nb"), (6, "ab"), (None, "x y"), (None, "x\ty")]
+    orders = [sorted(rows, key=lambda r: random.Random(k).random() + hash(r[1]) % (k + 2)) for k in range(4)]
+    kept = {tuple(sorted(((r.doc_id, r.text) for r in exact_dedup.keep_one(frame(spark, o).repartition(k + 1)).collect()), key=repr)) for k, o in enumerate(orders)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
+def test_packing_deals_rows_without_identifiers(spark):
+    """One identifier, or none, for all rows: they are dealt into groups by their content too, and each is placed once."""
+    rows = [(None, f"text number {i} " * (i % 40)) for i in range(400)] + [(7, f"other {i}") for i in range(200)]
+    got = packing.packed_documents(frame(spark, rows), bpe.tokenizer_path("word_bpe_49k.json"), per_group=60).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id >> 36] = sizes.get(r.sequence_id >> 36, 0) + 1
+    assert len(got) == 600 and len(sizes) == 10 and max(sizes.values()) < 200
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from symtransfer.llm.common import shared_folder
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(type("Session", (), {"sparkContext": Context}))
+
+
 def test_licences(spark):
     mit = " ".join(SENTENCES[s] for s in ("mit-grant", "mit-notice", "as-is"))
     rows = [
