@@ -23,8 +23,10 @@ from .common import id_and_text, read, real_id, with_fields
 
 #: Pieces of more bytes than this are encoded as trees.
 LONG = 512
-#: Distinct pieces that a worker remembers, of each sort.
-REMEMBERED = 350_000
+#: Distinct pieces that a worker remembers, of each sort: so many new ones, and as many met before them.
+REMEMBERED = 175_000
+#: The same for whole words, of which texts have more.
+WORDS = 220_000
 
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in set(_VISIBLE)]
@@ -72,15 +74,20 @@ def _lettered_run(run: str) -> str:
 
 
 class Pieces(dict):
-    """Piece -> its ids as little-endian 32-bit integers; filled as pieces come."""
+    """Piece -> its ids as little-endian 32-bit integers; filled as pieces come. Full, it becomes the older generation, from which pieces met again come back."""
 
-    def __init__(self, encode) -> None:
-        self.encode_bytes = lambda piece: _packed(encode(piece))
+    def __init__(self, encode, size: int = REMEMBERED) -> None:
+        self.encode_bytes, self.size = (lambda piece: _packed(encode(piece))), size
+        self.older: dict = {}
 
     def __missing__(self, piece):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.size:
+            self.older = dict(self)
             self.clear()
-        got = self[piece] = self.encode_bytes(piece)
+        got = self.older.get(piece)
+        if got is None:
+            got = self.encode_bytes(piece)
+        self[piece] = got
         return got
 
 
@@ -139,6 +146,9 @@ class ByteLevel:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class ByWord:
     """A lower-casing tokenizer file whose rules never reach over ASCII white space.
 
@@ -156,12 +166,16 @@ class ByWord:
         self.plain = regex.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u017e]+").fullmatch
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         tokens = t.model.tokenize
-        self.runs = Pieces(lambda run: [x.id for x in tokens(_lettered_run(run))])
-        self.pieces = Pieces(None)
+        self.runs = Pieces(lambda run: [x.id for x in tokens(_lettered_run(run))], WORDS)
+        self.pieces = Pieces(None, WORDS)
         self.pieces.encode_bytes = self._word
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        core = text.rstrip(_MARKS)
+        if core.isalpha() and (core.isascii() or self.plain(core)) and not self.special(text):
+            ids = self.runs[core.lower()]
+            return ids if len(core) == len(text) else ids + self.runs[text[len(core) :]]
         if self.plain(text) and not self.special(text):
             return b"".join(map(self.runs.__getitem__, self.find(text.lower())))
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
