@@ -291,43 +291,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a > b of nodes with different roots, all similar ones among them. rows: node, root, shingles (distinct).
+def _rare(rows: DataFrame, similarity: float) -> DataFrame:
+    """node, n (shingles), s, i: each node's rare shingles, of which any two similar nodes share one. rows: node, shingles (distinct).
 
-    With shingles in order of frequency, similar sets of x >= y shingles share one of the first x - ceil(s x) + 1 of the
-    larger and the first y - ceil(2 s y / (1 + s)) + 1 of the smaller, and from the first shared one on each has as
-    many left as both must share. Shingles that one row alone has come first and meet nothing.
+    With shingles in order of frequency, two similar sets share one of the first n - ceil(similarity n) + 1 of each, and
+    from the first shared one on each has as many left as both must share. Those that one row alone has come first, and go.
     """
-    each = rows.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    each = rows.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     # written out, as in similar_components
     often = cut_lineage(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
-    ranked = each.join(often, "s").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
-    first = ranked.select("node", "root", "n", F.size("r").alias("m"), F.posexplode("r").alias("k", "e"))
-    first = first.select("node", "root", "n", F.col("e.s").alias("s"), (F.col("n") - F.col("m") + F.col("k")).alias("i"))
-    within = lambda share: F.col("i") <= F.col("n") - F.ceil(share * F.col("n") - 1e-6)
-    large = cut_lineage(first.where(within(similarity)))
-    least = 2 * similarity / (1 + similarity)
-    small = large.where(within(least))
-    # groups that meet at a shingle, so that a crowd of one group doesn't meet itself
-    other = large.select("s", F.col("root").alias("other")).distinct()
-    groups = cut_lineage(small.select("s", "root").distinct().join(other, "s").where("root != other"))
-    x = large.select("s", F.col("root").alias("other"), F.col("node").alias("xnode"), F.col("n").alias("xn"), F.col("i").alias("xi"))
-    met = groups.join(small, ["s", "root"]).join(x, ["s", "other"]).where("n < xn OR n = xn AND node < xnode")
-    met = met.where(F.least(F.col("n") - F.col("i"), F.col("xn") - F.col("xi")) >= least / 2 * (F.col("n") + F.col("xn")) - 1e-6)
+    ranked = each.join(often, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
+    first = ranked.select("node", "n", F.size("r").alias("m"), F.posexplode("r").alias("k", "e"))
+    first = first.select("node", "n", F.col("e.s").alias("s"), (F.col("n") - F.col("m") + F.col("k")).alias("i"))
+    return cut_lineage(first.where(F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6)))
+
+
+def _met_at(rare: DataFrame, root: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs a > b of nodes of different groups that may be similar, at most two for each group at each rare shingle.
+
+    There each group sends one of its nodes, and two of these lead: every other one is paired with both. Which ones is
+    drawn anew for each shingle and turn, so of two groups that share some rare shingles one leads at one of them soon.
+    """
+    drawn = lambda *what: F.xxhash64(*what, F.lit(turn))
+    rows = rare.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    one = F.struct("node", "n", "i")
+    # first those with the most left to share
+    sent = rows.groupBy("s", "root").agg(F.max_by(one, F.col("n") - F.col("i") if turn == 0 else drawn("node", "s")).alias("x"))
+    leaders = sent.groupBy("s").agg(F.count("*").alias("groups"), F.min_by(F.struct("root", "x"), drawn("root", "s")).alias("p"), F.max_by(F.struct("root", "x"), drawn("root", "s")).alias("q")).where("groups > 1")
+    met = sent.join(leaders.select("s", F.explode(F.array("p", "q")).alias("l")), "s").where("root != l.root").select("x.*", F.col("l.x.node").alias("xnode"), F.col("l.x.n").alias("xn"), F.col("l.x.i").alias("xi"))
+    share = similarity / (1 + similarity)
+    met = met.where(F.least(F.col("n") - F.col("i"), F.col("xn") - F.col("xi")) >= share * (F.col("n") + F.col("xn")) - 1e-6)
     return met.select(F.greatest("node", "xnode").alias("a"), F.least("node", "xnode").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 12, sample: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 12, sample: int = 4, turns: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of similar texts: node (a 64-bit hash of identifier and text), id, keep_id and kept, of the texts in groups of two or more.
 
     Texts are linked whose sets of word shingles have a Jaccard similarity of `similarity` or more, exactly verified.
     Candidates are those whose fingerprints of all shingles differ in at most two bits (the popcount grid), and those
     with equal fingerprints of a few shingles drawn alike from both (`tables` draws of `sample`): two texts of similarity
-    s share one with probability 1 - (1 - s^sample)^tables, 0.998 at the defaults. Each candidate is first compared with
-    the first and the last of those it meets; where four or more meet and don't all become one group, an exact prefix
-    filter finds the other pairs between the groups, so no group makes all its pairs and no similar pair that shares
-    a draw is left out. Texts without words have no links, null and empty ones among them. Rows that repeat identifier and
-    text are one node; a null identifier ranks last; an empty table gives no rows; other columns are ignored.
+    s share one with probability 1 - (1 - s^sample)^tables, 0.998 at the defaults. Each candidate is compared with the
+    first and the last of those it meets. Where four or more meet and don't all become one group, they meet again at
+    their rare shingles, as an exact prefix filter picks them: up to three groups at a shingle are all compared, more of
+    them with two leaders that change from shingle to shingle and turn to turn, at least two turns and up to `turns` while
+    new links come. So pairs grow with the input and not with the square of a crowd; a link between groups can stay
+    unseen where scores of groups share each of its rare shingles (tests/llm measures recall). Texts without words have no links,
+    null and empty ones among them. Rows that repeat identifier and text are one node; a null identifier ranks last; an
+    empty table gives no rows; other columns are ignored; long texts are compared whole.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("node", F.xxhash64("id", "text"))
     own = cut_lineage(rows.mapInArrow(_sketches(shingle, tables, sample), "id long, node long, fp long, tables array<long>"))
@@ -350,12 +360,18 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     crowd = drawn.join(met.where("n > 3").select("t", "value"), ["t", "value"]).join(root, "node", "left")
     crowd = cut_lineage(crowd.select("t", "value", "node", F.coalesce("root", "node").alias("root")))
     several = crowd.groupBy("t", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("t", "value")
-    open_nodes = cut_lineage(crowd.join(several, ["t", "value"]).select("node", "root").distinct())
+    open_nodes = cut_lineage(crowd.join(several, ["t", "value"]).select("node").distinct())
     if not open_nodes.isEmpty():
-        rest = _prefix_pairs(open_nodes.join(sets, "node"), similarity).join(pairs, ["a", "b"], "left_anti")
-        more = cut_lineage(_verified(cut_lineage(rest), sets, similarity))
-        if not more.isEmpty():
-            root = components(verified.unionByName(more))
+        rare = _rare(open_nodes.join(sets, "node"), similarity)
+        for turn in range(turns):
+            rest = cut_lineage(_met_at(rare, root, similarity, turn).join(pairs, ["a", "b"], "left_anti"))
+            more = cut_lineage(_verified(rest, sets, similarity))
+            if not more.isEmpty():
+                verified = cut_lineage(verified.unionByName(more))
+                root = components(verified)
+            elif turn:
+                break
+            pairs = pairs.unionByName(rest)
     nodes = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())
     nodes = nodes.join(own.select("id", "node").distinct(), "node")
     kept = nodes.groupBy("root").agg(F.min(point).alias("low"))
