@@ -211,4 +211,24 @@ def verdict(m: list[np.ndarray], rules: Rules) -> np.ndarray:
 
 
 def op1_suffix_array_quality(spark, sf_dir):
-    return quality(read(spark, sf_dir))
+    return quality(read(spark, sf_dir)).drop("longest_repeat")
+
+
+#: By windows: words under repeats of 8 words or more are those under 8-word windows found twice, and a longest repeat
+#: beyond both limits is a window of so many words found twice.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+grams AS (SELECT r, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (3), (8)) AS s(k))),
+twice AS (SELECT r, k, i, lead(i) OVER (PARTITION BY r, k ORDER BY i) AS j FROM (SELECT r, k, i, count(*) OVER (PARTITION BY r, k, g) AS n FROM grams) WHERE n > 1),
+under AS (SELECT r, k, sum(least(k, coalesce(j - i, k))) AS n FROM twice GROUP BY r, k),
+m AS (SELECT d.r, doc_id, len(w) AS n_words, w, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, CAST(coalesce(a.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_covered
+  FROM d JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN under a ON a.r = d.r AND a.k = 3 LEFT JOIN under b ON b.r = d.r AND b.k = 8),
+long AS (SELECT DISTINCT r FROM (SELECT m.r, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g FROM (SELECT *, greatest(60, CAST(floor(0.2 * n_words) AS BIGINT) + 1) AS size FROM m) m
+  JOIN twice ON twice.r = m.r AND k = 8 WHERE n_covered >= size AND i + size - 1 <= n_words) GROUP BY r, g HAVING count(*) > 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= 0.3 * n_words AND long.r IS NULL AS kept
+FROM m LEFT JOIN long ON long.r = m.r
+"""

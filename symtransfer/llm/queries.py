@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, url_filter
+from . import exact_dedup, license_scan, quality, substring_dedup, suffix_dedup, url_filter
 from .bpe import op3_tree_bpe
 from .exact_dedup import op4_patricia_exact_dedup
 from .license_scan import op7_license_sentence_rules
@@ -22,7 +22,10 @@ QUERIES = {
     )
 }
 SQL = {
+    "op1_suffix_array_quality": quality.SQL,
     "op4_patricia_exact_dedup": exact_dedup.SQL,
     "op5_temporal_url_lists": url_filter.SQL,
+    "op6_suffix_array_dedup": suffix_dedup.SQL,
     "op7_license_sentence_rules": license_scan.SQL,
+    "op10_suffix_automaton_dedup": substring_dedup.SQL,
 }

@@ -143,3 +143,18 @@ def op10_suffix_automaton_dedup(spark, sf_dir):
     out = remove_shared_windows(read(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows of 13 words that an earlier document starts, in order, make runs where they touch or overlap.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+hit AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS own FROM win) WHERE own < doc_id),
+runs AS (SELECT r, min(i) AS a, max(i) + 13 AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run
+  FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 13 THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY r, run),
+cut AS (SELECT r, a, b, lag(b, 1, 1) OVER (PARTITION BY r ORDER BY a) AS before FROM runs),
+left_ AS (SELECT d.r, flatten(list(list_slice(w, before, a - 1) ORDER BY a)) AS kept, sum(b - a) AS n, max(b) AS stop FROM d JOIN cut USING (r) GROUP BY d.r)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_concat(coalesce(kept, []), list_slice(w, coalesce(stop, 1), len(w))), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN left_ USING (r)
+"""
