@@ -82,10 +82,11 @@ def documents(spark: SparkSession, sf_dir: str) -> Side:
     return Side(with_sizes(entity, member), member)
 
 
-def document_words(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    """entity_id, element: distinct words of each text."""
+def document_words(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id", distinct: bool = True) -> DataFrame:
+    """entity_id, element: words of each text, each once unless `distinct` is off (a minimum over them doesn't mind, and needs no shuffle of words)."""
     rows = table(spark, sf_dir, name).select(F.col(key).alias("entity_id"), F.explode(F.split(F.coalesce("text", F.lit("")), "[ \n]+")).alias("element"))
-    return rows.where("element != ''").distinct()
+    rows = rows.where("element != ''")
+    return rows.distinct() if distinct else rows
 
 
 def customers(spark: SparkSession, sf_dir: str) -> Side:

@@ -63,7 +63,7 @@ def _sides(spark, sf) -> tuple[Side, Side]:
 
 def _words(spark, sf, labelled: bool) -> DataFrame:
     ids = table(spark, sf, "labels").select(F.col("doc_id").alias("entity_id"))
-    return frontends.document_words(spark, sf).join(ids, "entity_id", "left_semi" if labelled else "left_anti")
+    return frontends.document_words(spark, sf, distinct=False).join(ids, "entity_id", "left_semi" if labelled else "left_anti")
 
 
 DOC_PAIRS = f"""{DOCUMENTS_SQL},
@@ -91,24 +91,35 @@ def arity_counts(spark, sf):
     return frontends.customers(spark, sf).entity.select(F.col("entity_id").alias("c_custkey"), *long("n_methods", "n_fields"))
 
 
-@query(f"WITH {DOCUMENTS_SQL} SELECT coarse, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(DISTINCT entity_id) AS BIGINT) AS n_docs FROM mem WHERE kind = 'm' GROUP BY coarse")
-def coarse_histogram(spark, sf):
-    lines = frontends.documents(spark, sf).member.where("kind = 'm'")
-    return lines.groupBy("coarse").agg(F.count("*").alias("n_lines"), F.countDistinct("entity_id").alias("n_docs"))
+# Opcode categories, written out for SQL.
+CATEGORY_SQL = """CASE WHEN {0} BETWEEN 1 AND 18 OR {0} BETWEEN 21 AND 25 OR {0} BETWEEN 46 AND 53 OR {0} = 190 THEN 0 WHEN {0} BETWEEN 54 AND 58 OR {0} BETWEEN 79 AND 86 THEN 1
+WHEN {0} BETWEEN 96 AND 152 THEN 2 WHEN {0} BETWEEN 153 AND 171 OR {0} IN (198, 199) THEN 3 WHEN {0} BETWEEN 172 AND 177 THEN 4 WHEN {0} BETWEEN 182 AND 186 THEN 5 WHEN {0} BETWEEN 178 AND 181 THEN 6
+WHEN {0} IN (187, 188, 189, 192, 193) THEN 7 WHEN {0} = 191 THEN 8 WHEN {0} IN (194, 195, 197) THEN 9 ELSE 10 END"""
+BODY_SQL = "body AS (SELECT p_partkey, [(p_partkey * i * 13 + p_size) % 202 FOR i IN range(1, p_size + 1)] AS ops, [p_brand, p_type] AS tags FROM part)"
 
 
-@query(f"WITH {DOCUMENTS_SQL} SELECT entity_id AS doc_id, CAST(sum(CAST(fine AS BIGINT)) AS BIGINT) AS fine_sum, md5(string_agg(fine, ',' ORDER BY ord)) AS fold FROM lines GROUP BY 1")
-def fine_fingerprint(spark, sf):
-    lines = frontends.document_lines(table(spark, sf, "documents"))
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "fine")))
-    folded = F.md5(F.array_join(F.transform(ordered, lambda x: x["fine"].cast("string")), ","))
-    return lines.groupBy(F.col("entity_id").alias("doc_id")).agg(F.sum("fine").alias("fine_sum"), folded.alias("fold"))
+def _bodies(spark, sf) -> DataFrame:
+    """Parts as method bodies: opcodes computed from key and size, brand and type as operand tags."""
+    ops = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: ((F.col("p_partkey") * i * 13 + F.col("p_size")) % 202).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", ops.alias("ops"), F.array("p_brand", "p_type").alias("tags"))
 
 
-_OPCODES = [c for c in features.opcode_table()]
+@query(f"""WITH {BODY_SQL}, c AS (SELECT p_partkey, unnest(list_transform(ops, lambda op: {CATEGORY_SQL.format('op')})) AS c FROM body)
+SELECT p_partkey, concat_ws(',', {', '.join(f'count(*) FILTER (c = {i})' for i in range(11))}) AS histogram FROM c GROUP BY 1""")
+def coarse_histogram(spark, sf):
+    return _bodies(spark, sf).select("p_partkey", features.category_histogram(F.col("ops")).alias("histogram"))
 
 
-@query(f"SELECT CAST(op AS BIGINT) AS op, CAST(coalesce([{', '.join(map(str, _OPCODES))}][op + 1], 10) AS BIGINT) AS category, CAST(n AS BIGINT) AS n FROM (SELECT p_size * 7 AS op, count(*) AS n FROM part GROUP BY 1)")
+@query(f"""WITH {BODY_SQL}, halved AS (SELECT p_partkey, list_slice(ops, 1, 1) AS ops, list_slice(tags, 1, 1) AS tags FROM body)
+SELECT p_partkey, min(p_partkey) OVER (PARTITION BY ops, tags) AS first_part, CAST(count(*) OVER (PARTITION BY ops, tags) AS BIGINT) AS copies FROM halved""")
+def fine_fingerprint(spark, sf):
+    """Only a fingerprint's equality counts: each outline of a body with the first part that has an equal one."""
+    fine = _bodies(spark, sf).select("p_partkey", features.fine_fingerprint(F.slice("ops", 1, 1), F.slice("tags", 1, 1)).alias("fine"))
+    first = fine.groupBy("fine").agg(F.min("p_partkey").alias("first_part"), F.count("*").alias("copies"))
+    return fine.join(first, "fine").select("p_partkey", "first_part", "copies")
+
+
+@query(f"SELECT CAST(op AS BIGINT) AS op, CAST({CATEGORY_SQL.format('op')} AS BIGINT) AS category, CAST(n AS BIGINT) AS n FROM (SELECT p_size * 7 AS op, count(*) AS n FROM part GROUP BY 1)")
 def opcode_categories(spark, sf):
     ops = table(spark, sf, "part").groupBy((F.col("p_size") * 7).alias("op")).agg(F.count("*").alias("n"))
     return ops.select(F.col("op").cast("long").alias("op"), features.opcode_category(F.col("op")).cast("long").alias("category"), "n")
@@ -252,7 +263,7 @@ FULL_SQL = f"WITH {WORDS_SQL}, {signature_sql(128)}, {bands_sql(128, 32)}"
 
 def _signatures(spark, sf) -> DataFrame:
     ids = table(spark, sf, "documents").select(F.col("doc_id").alias("entity_id"))
-    return MinHash(LSH.num_hashes, LSH.num_bands).signatures(frontends.document_words(spark, sf), ids)
+    return MinHash(LSH.num_hashes, LSH.num_bands).signatures(frontends.document_words(spark, sf, distinct=False), ids)
 
 
 def _bands(spark, sf) -> DataFrame:
@@ -306,13 +317,36 @@ def label_transfer_lsh(spark, sf):
     return best.join(labels, "t").select(F.col("u").alias("doc_id"), "t", micro(), "quality", "toxic")
 
 
-def _jaccard(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """u, t, shared, total of word sets."""
-    size = words.groupBy("entity_id").agg(F.count("*").alias("n"))
-    l, r = words.select(F.col("entity_id").alias("u"), "element"), words.select(F.col("entity_id").alias("t"), "element")
-    shared = pairs.join(l, "u").join(r, ["t", "element"]).groupBy("u", "t").agg(F.count("*").alias("shared"))
-    both = shared.join(size.select(F.col("entity_id").alias("u"), F.col("n").alias("nu")), "u").join(size.select(F.col("entity_id").alias("t"), F.col("n").alias("nt")), "t")
-    return both.select("u", "t", "shared", (F.col("nu") + F.col("nt") - F.col("shared")).alias("total"))
+def _word_sets(words: DataFrame) -> DataFrame:
+    """entity_id, w (its sorted distinct words), rep (the smallest entity with the same ones)."""
+    sets = words.groupBy("entity_id").agg(F.sort_array(F.collect_set("element")).alias("w"))
+    key = F.sha2(F.array_join("w", "\n"), 256)
+    reps = sets.groupBy(key.alias("key")).agg(F.min("entity_id").alias("rep"))
+    return sets.withColumn("key", key).join(reps, "key").select("entity_id", "w", "rep")
+
+
+def _near_duplicates(words: DataFrame) -> DataFrame:
+    """u, t, shared, total: pairs of representatives that share a band and half their words, and each copy with its representative.
+
+    Only one entity of those with equal word sets reaches the bands, so copies make no pairs among themselves; a pair's
+    sets are compared once, as arrays.
+    """
+    sets = _word_sets(words)
+    reps = sets.where("entity_id = rep").select("entity_id", "w")
+    lsh = MinHash(LSH.num_hashes, LSH.num_bands)
+    bands = lsh.bands(lsh.signatures(reps.select("entity_id", F.explode("w").alias("element")), reps.select("entity_id")))
+    pairs = lsh_pairs(bands, bands).where("u < t")
+    both = pairs.join(reps.select(F.col("entity_id").alias("u"), F.col("w").alias("x")), "u").join(reps.select(F.col("entity_id").alias("t"), F.col("w").alias("y")), "t")
+    both = both.select("u", "t", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), (F.size("x") + F.size("y")).alias("n"))
+    both = both.select("u", "t", "shared", (F.col("n") - F.col("shared")).cast("long").alias("total")).where("10 * shared >= 5 * total")
+    size = F.size("w").cast("long")
+    return both.unionByName(sets.where("entity_id != rep").select(F.col("rep").alias("u"), F.col("entity_id").alias("t"), size.alias("shared"), size.alias("total")))
+
+
+CLASSES_SQL = """cls AS (SELECT entity_id, n, min(entity_id) OVER (PARTITION BY key) AS rep FROM (SELECT entity_id, count(*) AS n, string_agg(element, chr(10) ORDER BY element) AS key FROM words GROUP BY 1))"""
+NEAR_SQL = CLASSES_SQL + """
+SELECT u, t, CAST(shared AS BIGINT) AS shared, CAST(total AS BIGINT) AS total FROM k JOIN near USING (u, t) WHERE 10 * shared >= 5 * total AND u IN (SELECT rep FROM cls) AND t IN (SELECT rep FROM cls)
+UNION ALL SELECT rep, entity_id, n, n FROM cls WHERE rep <> entity_id"""
 
 
 RECALL_SQL = FULL_SQL + """, n AS (SELECT entity_id, count(*) AS n FROM words GROUP BY 1),
@@ -321,11 +355,9 @@ j AS (SELECT a.entity_id AS u, b.entity_id AS t, count(*) AS shared FROM words a
 k AS (SELECT u, t, shared, x.n + y.n - shared AS total FROM j JOIN n x ON x.entity_id = u JOIN n y ON y.entity_id = t)"""
 
 
-@query(RECALL_SQL + " SELECT u, t, CAST(shared AS BIGINT) AS shared, CAST(total AS BIGINT) AS total FROM k JOIN near USING (u, t) WHERE 10 * shared >= 5 * total")
+@query(RECALL_SQL + ", " + NEAR_SQL)
 def near_dup_documents(spark, sf):
-    bands = _bands(spark, sf)
-    pairs = lsh_pairs(bands, bands).where("u < t")
-    return _jaccard(pairs, frontends.document_words(spark, sf)).where("10 * shared >= 5 * total")
+    return _near_duplicates(frontends.document_words(spark, sf, distinct=False))
 
 
 LINE_SETS_SQL = "words AS (SELECT DISTINCT doc_id AS entity_id, w AS element FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS w FROM documents) WHERE trim(w) <> '')"
@@ -523,9 +555,12 @@ def contamination_match(spark, sf):
     def runs(name, key):
         words = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
         rows = table(spark, sf, name).select(F.col(key).alias("entity_id"), words.alias("w")).where("size(w) >= 8")
-        return rows.select("entity_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("element")).distinct()
+        return rows.select("entity_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))).alias("element"))
 
-    shared = _shared_words(runs("documents", "doc_id"), runs("benchmark", "item_id"))
+    # of the documents' runs only those that the benchmark has are made distinct
+    wanted = runs("benchmark", "item_id").distinct()
+    met = runs("documents", "doc_id").join(wanted.select("element").distinct(), "element", "left_semi").distinct()
+    shared = _shared_words(met, wanted)
     best = shared.groupBy("u").agg(F.min_by(F.struct("t", "shared"), F.struct(-F.col("shared"), F.col("t"))).alias("b"))
     return best.select(F.col("u").alias("doc_id"), F.col("b.t").alias("item_id"), F.col("b.shared").alias("shared"))
 
@@ -544,12 +579,10 @@ def conversation_match(spark, sf):
 PAGE_WORDS_SQL = "words AS (SELECT DISTINCT page_id AS entity_id, w AS element FROM (SELECT page_id, unnest(string_split_regex(coalesce(html, ''), '[ \\n]+')) AS w FROM pages) WHERE w <> '')"
 
 
-@query(f"WITH {PAGE_WORDS_SQL}, {signature_sql(128, ids='(SELECT page_id AS entity_id FROM pages)')}, {bands_sql(128, 32)}" + RECALL_SQL[len(FULL_SQL) :] + " SELECT u, t, CAST(shared AS BIGINT) AS shared, CAST(total AS BIGINT) AS total FROM k JOIN near USING (u, t) WHERE 10 * shared >= 5 * total")
+@query(f"WITH {PAGE_WORDS_SQL}, {signature_sql(128, ids='(SELECT page_id AS entity_id FROM pages)')}, {bands_sql(128, 32)}" + RECALL_SQL[len(FULL_SQL) :] + ", " + NEAR_SQL)
 def page_dup_match(spark, sf):
-    rows = table(spark, sf, "pages").select(F.col("page_id").alias("entity_id"), F.explode(F.split(F.coalesce("html", F.lit("")), "[ \n]+")).alias("element")).where("element != ''").distinct()
-    lsh = MinHash(LSH.num_hashes, LSH.num_bands)
-    bands = lsh.bands(lsh.signatures(rows, table(spark, sf, "pages").select(F.col("page_id").alias("entity_id"))))
-    return _jaccard(lsh_pairs(bands, bands).where("u < t"), rows).where("10 * shared >= 5 * total")
+    rows = table(spark, sf, "pages").select(F.col("page_id").alias("entity_id"), F.explode(F.split(F.coalesce("html", F.lit("")), "[ \n]+")).alias("element")).where("element != ''")
+    return _near_duplicates(rows)
 
 
 @query(LSH_PAIRS_SQL + " SELECT u, t FROM near")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 import tempfile
@@ -48,9 +49,25 @@ register(Tool("fernflower", "fernflower.jar", "org.jetbrains.java.decompiler.mai
 register(Tool("vineflower", "vineflower.jar", "org.jetbrains.java.decompiler.main.decompiler.ConsoleDecompiler", lambda i, o, x: [*_options("--", "=")(x), i, o]))
 
 
-def locate(jar: str, folders: list[str]) -> str | None:
-    """The first of the folders that has the file."""
-    return next((str(p) for f in folders if (p := Path(f) / jar).is_file()), None)
+def locate(jar: str, folders: list[str], class_path: str | None = None) -> str | None:
+    """The tool's archive: by exact name in the folders and in ./lib, then by a name that has the tool's name in it there, then on the class path.
+
+    class_path: entries as Java takes them; the environment's CLASSPATH by default.
+    """
+    places = [Path(f) for f in [*folders, "lib"]]
+    part = Path(jar).stem.lower()
+    for p in places:
+        if (p / jar).is_file():
+            return str(p / jar)
+    for p in places:
+        if p.is_dir():
+            for x in sorted(p.iterdir()):
+                if x.is_file() and x.suffix.lower() == ".jar" and part in x.name.lower():
+                    return str(x)
+    for x in (os.environ.get("CLASSPATH", "") if class_path is None else class_path).split(os.pathsep):
+        if x.lower().endswith(".jar") and part in Path(x).name.lower() and Path(x).is_file():
+            return x
+    return None
 
 
 def clean(folder: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 
 import pyarrow as pa
@@ -38,22 +39,26 @@ def _class_row(name: str, ord_: int, data: bytes, drop_dynamic: bool) -> dict:
 
 
 def scan(spark: SparkSession, path: str, drop_dynamic: bool = False) -> DataFrame:
-    """One row per class entry, in order, of a JAR (or several, by a pattern); unreadable ones have an error and no members."""
+    """One row per class entry, in order, of a JAR (or several, by a pattern). Unreadable ones have an error and no members; a file that is no archive is one such row without a name."""
 
     def run(batches):
         for batch in batches:
             for content in batch["content"].to_pylist():
                 rows = []
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except (zipfile.BadZipFile, OSError, ValueError, struct.error) as e:
+                    yield pa.RecordBatch.from_pylist([{"entity_id": None, "ord": -1, "error": f"no archive: {e}", "members": []}], schema=_SCHEMA)
+                    continue
+                with archive as z:
                     for i, entry in enumerate(z.infolist()):
                         if not entry.filename.endswith(".class"):
                             continue
                         try:
-                            data = z.read(entry)
-                        except (zipfile.BadZipFile, OSError) as e:
-                            rows.append({"entity_id": entry.filename.removesuffix(".class"), "ord": i, "error": str(e), "members": []})
-                            continue
-                        rows.append(_class_row(entry.filename, i, data, drop_dynamic))
+                            row = _class_row(entry.filename, i, z.read(entry), drop_dynamic)
+                        except Exception as e:  # noqa: BLE001 - damaged, encrypted or of an unknown method: whatever is wrong with one entry, the others are read
+                            row = {"entity_id": entry.filename.removesuffix(".class"), "ord": i, "error": f"{type(e).__name__}: {e}", "members": []}
+                        rows.append(row)
                         if len(rows) == 500:
                             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
                             rows = []
