@@ -373,6 +373,26 @@ def test_licences(spark):
     assert license_scan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("licence, names", [
+    ("MIT", ["mit-grant", "mit-notice", "as-is"]), ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-hope"]), ("GPL-2.0-or-later", ["gpl2-redistribute", "gpl-hope"]), ("AGPL-3.0-or-later", ["agpl-redistribute", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21-redistribute"]), ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-no-endorsement"]), ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    ("ISC", ["isc-grant", "isc-as-is"]), ("Apache-2.0", ["apache2-may-not-use", "apache2-copy-at"]), ("MPL-2.0", ["mpl2-subject"]), ("Unlicense", ["unlicense-public"]), ("Zlib", ["zlib-grant"]), ("BSL-1.0", ["boost-grant"]),
+])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_and_commented_licences(licence, names, mark):
+    import textwrap
+
+    from symtransfer.llm.license_scan import RULES, Recogniser
+
+    recogniser = Recogniser(SENTENCES, RULES)
+    for width in (40, 72):
+        body = "\n".join(mark + x for x in textwrap.wrap(" ".join(SENTENCES[n] for n in names), width, break_long_words=False, break_on_hyphens=False))
+        text = f"some title\n{mark}\n{body}\nint main() {{ return 0; }}"
+        found = recogniser.licences(recogniser.sentences(text))
+        assert [x for x, _, _ in found] == [licence], (width, found)
+        assert text[found[0][1] : found[0][2]].count("\n") >= body.count("\n") - 1
+
+
 PRIVATE = [
     (1, "mail hein.19@mail5.example.com or HEIN.19@MAIL5.EXAMPLE.COM, call +1 (743) 555-3824 or +1 743 555 3824 now"),
     (2, "card 4785380592391139$$$ and 4111 1111 1111 1111, ip 70.23.22.57 and 192.168.3.4."),
