@@ -324,7 +324,17 @@ def _met_at(rare: DataFrame, root: DataFrame, similarity: float, turn: int) -> D
     return met.select(F.greatest("node", "xnode").alias("a"), F.least("node", "xnode").alias("b")).distinct()
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 12, sample: int = 4, turns: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after more links a, b: only the groups' roots meet again."""
+    of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+    ends = ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a != b").distinct()
+    moved = components(ends)
+    up = moved.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return root.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(moved)
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 12, sample: int = 4, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of similar texts: node (a 64-bit hash of identifier and text), id, keep_id and kept, of the texts in groups of two or more.
 
     Texts are linked whose sets of word shingles have a Jaccard similarity of `similarity` or more, exactly verified.
@@ -333,8 +343,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     s share one with probability 1 - (1 - s^sample)^tables, 0.998 at the defaults. Each candidate is compared with the
     first and the last of those it meets. Where four or more meet and don't all become one group, they meet again at
     their rare shingles, as an exact prefix filter picks them: up to three groups at a shingle are all compared, more of
-    them with two leaders that change from shingle to shingle and turn to turn, at least two turns and up to `turns` while
-    new links come. So pairs grow with the input and not with the square of a crowd; a link between groups can stay
+    them with two leaders that change from shingle to shingle and turn to turn, in `turns` turns. So pairs grow with the input and not with the square of a crowd; a link between groups can stay
     unseen where scores of groups share each of its rare shingles (tests/llm measures recall). Texts without words have no links,
     null and empty ones among them. Rows that repeat identifier and text are one node; a null identifier ranks last; an
     empty table gives no rows; other columns are ignored; long texts are compared whole.
@@ -363,15 +372,13 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     open_nodes = cut_lineage(crowd.join(several, ["t", "value"]).select("node").distinct())
     if not open_nodes.isEmpty():
         rare = _rare(open_nodes.join(sets, "node"), similarity)
+        more = None
         for turn in range(turns):
             rest = cut_lineage(_met_at(rare, root, similarity, turn).join(pairs, ["a", "b"], "left_anti"))
-            more = cut_lineage(_verified(rest, sets, similarity))
-            if not more.isEmpty():
-                verified = cut_lineage(verified.unionByName(more))
-                root = components(verified)
-            elif turn:
-                break
+            found = _verified(rest, sets, similarity)
+            more = found if more is None else more.unionByName(found)
             pairs = pairs.unionByName(rest)
+        root = _joined(root, more)
     nodes = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())
     nodes = nodes.join(own.select("id", "node").distinct(), "node")
     kept = nodes.groupBy("root").agg(F.min(point).alias("low"))
