@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Side:
-    """entity: entity_id, ord, flags, refs, n_methods, n_fields, and more; member: entity_id, kind, ord, name, desc, access, fine, coarse, init_tag."""
+    """entity: entity_id, ord, flags, refs, n_methods, n_fields, and more; member: entity_id, kind, ord, name, desc, access, fine, coarse, init_tag.
+
+    counts, bands: key counts of the members and MinHash bands, where they are prepared; otherwise each plan computes its own.
+    """
 
     entity: DataFrame
     member: DataFrame
+    counts: DataFrame | None = None
+    bands: DataFrame | None = None
 
     def only(self, ids: DataFrame) -> Side:
         return Side(self.entity.join(ids, "entity_id", "left_semi"), self.member.join(ids, "entity_id", "left_semi"))

@@ -3,10 +3,13 @@
 A file becomes two frames: classes (from_name, to_name, identity, ord) and members (from_class, kind m or f, from_name,
 desc, to_name, ord). Lines of all formats but one are read by column expressions: a window carries the class of a member
 line down. The arrow format's nested classes depend on a stack of lines, so one Python pass over each file reads those.
+A mapping file describes one archive, so it is bounded, and its lines stay in order in one task. `register` adds readers.
 """
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,8 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.features import PRIMITIVES, looks_like_descriptor, looks_like_integer, unescape_name
 from ..operators.merge import last_wins, reset_members
 
-FORMATS = ("tiny-v2", "tiny-v1", "tsrg-v2", "tsrg-v1", "srg", "mojang")
-DISPLAY = {"tiny-v2": "Tiny v2", "tiny-v1": "Tiny v1", "tsrg-v2": "TSRG v2", "tsrg-v1": "TSRG v1", "srg": "SRG", "mojang": "ProGuard"}
+LOG = logging.getLogger(__name__)
 HEAD = 8
 NO_METHOD, NO_FIELD = "()V", "I"
 
@@ -32,18 +34,36 @@ def _starts(line: Column, *prefixes: str) -> Column:
     return out
 
 
-def line_format(head: Column) -> Column:
-    """The format that the first lines (an array) show; null for none."""
-    first = F.coalesce(F.get(head, F.lit(0)), F.lit(""))
-    second = F.get(head, F.lit(1))
+# The marks that formats start with.
+_TINY2, _TINY1, _TSRG2, _SRG, _ARROW_NOTE = ("tiny\t2\t", "tiny 2 "), ("tiny\t1\t", "tiny 1 "), ("tsrg2\t", "tsrg2 "), ("CL:", "FD:", "MD:"), "# mapping file"
+
+
+def _first(head: Column) -> Column:
+    return F.coalesce(F.get(head, F.lit(0)), F.lit(""))
+
+
+def _fits_tsrg1(head: Column) -> Column:
+    first, second = _first(head), F.get(head, F.lit(1))
+    return first.contains("\t") & ~_starts(first, *_TSRG2, "tiny\t", "tiny ", *_SRG, "#") & (second.isNull() | second.startswith("\t"))
+
+
+def _fits_srg(head: Column) -> Column:
     some = F.filter(F.transform(head, F.trim), lambda x: (x != "") & ~x.startswith("#"))
-    srg = F.coalesce(_starts(F.get(some, F.lit(0)), "CL:", "FD:", "MD:"), F.lit(False))
-    tsrg1 = first.contains("\t") & ~_starts(first, "tsrg2\t", "tsrg2 ", "tiny\t", "tiny ", "CL:", "MD:", "FD:", "#") & (second.isNull() | second.startswith("\t"))
-    arrow = F.exists(head, lambda x: (x.contains(" -> ") & F.trim(x).endswith(":")) | x.startswith("# mapping file"))
-    return (
-        F.when(_starts(first, "tiny\t2\t", "tiny 2 "), "tiny-v2").when(_starts(first, "tiny\t1\t", "tiny 1 "), "tiny-v1").when(_starts(first, "tsrg2\t", "tsrg2 "), "tsrg-v2")
-        .when(tsrg1, "tsrg-v1").when(srg, "srg").when(arrow, "mojang")
-    )
+    return _starts(F.get(some, F.lit(0)), *_SRG)
+
+
+def _fits_arrow(head: Column) -> Column:
+    return F.exists(head, lambda x: (x.contains(" -> ") & F.trim(x).endswith(":")) | x.startswith(_ARROW_NOTE))
+
+
+def line_format(head: Column) -> Column:
+    """The first registered format that the first lines (an array) show; null for none."""
+    return F.get(fitting_formats(head), F.lit(0))
+
+
+def fitting_formats(head: Column) -> Column:
+    """All registered formats that the first lines fit, in the order of registration."""
+    return F.array_compact(F.array(*[F.when(F.coalesce(r.fits(head), F.lit(False)), F.lit(r.format)) for r in _READERS.values()]))
 
 
 def guess_by_name(path: Column) -> Column:
@@ -230,7 +250,61 @@ def _arrow(spark: SparkSession, path: str, nested: bool) -> DataFrame:
     return rows.select("ord", "kind", "owner", "owner_to", "name", desc.alias("desc"), "to")
 
 
-_READERS = {"tiny-v2": _tiny_v2, "tiny-v1": lambda x: _plain(x, 4), "tsrg-v2": _tsrg_v2, "tsrg-v1": lambda x: _plain(x, 4), "srg": _srg}
+@dataclass(frozen=True)
+class Reader:
+    """fits: a column of the first lines (an array) -> whether they show this format.
+
+    rows: (session, path, lines with ord and line, nested_generics) -> ord, kind (c, f or m), owner, owner_to (null for
+    classes), name, desc, to.
+    """
+
+    format: str
+    display: str
+    fits: Callable[[Column], Column]
+    rows: Callable[[SparkSession, str, DataFrame, bool], DataFrame]
+
+
+_READERS: dict[str, Reader] = {}
+
+
+def register(reader: Reader) -> None:
+    """Adds a reader after the others; one of a known format takes that one's place."""
+    _READERS[reader.format] = reader
+
+
+def unregister(format: str) -> None:
+    _READERS.pop(format, None)
+
+
+def readers() -> list[Reader]:
+    return list(_READERS.values())
+
+
+def _by_line(parse: Callable[[Column], Column], header: bool = True):
+    """Class lines and, below them, member lines that a window gives their class; after the header, if there is one."""
+
+    def rows(spark: SparkSession, path: str, lines: DataFrame, nested: bool) -> DataFrame:
+        body = lines.where("line != ''").where(F.col("ord") > (0 if header else -1))
+        found = body.select("ord", parse(F.col("line")).alias("r")).where("r IS NOT NULL").select("ord", "r.*")
+        before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+        carry = lambda c: F.last(F.when(F.col("kind") == "c", F.col(c)), ignorenulls=True).over(before)
+        return found.withColumn("owner", carry("name")).withColumn("owner_to", carry("to")).where("kind = 'c' OR owner IS NOT NULL")
+
+    return rows
+
+
+def _srg_rows(spark: SparkSession, path: str, lines: DataFrame, nested: bool) -> DataFrame:
+    body = lines.where("line != ''").where(~F.trim("line").startswith("#"))
+    return body.select("ord", _srg(F.col("line")).alias("r")).where("r IS NOT NULL").select("ord", "r.*")
+
+
+register(Reader("tiny-v2", "Tiny v2", lambda head: _starts(_first(head), *_TINY2), _by_line(_tiny_v2)))
+register(Reader("tiny-v1", "Tiny v1", lambda head: _starts(_first(head), *_TINY1), _by_line(lambda x: _plain(x, 4))))
+register(Reader("tsrg-v2", "TSRG v2", lambda head: _starts(_first(head), *_TSRG2), _by_line(_tsrg_v2)))
+register(Reader("tsrg-v1", "TSRG v1", _fits_tsrg1, _by_line(lambda x: _plain(x, 4), header=False)))
+register(Reader("srg", "SRG", _fits_srg, _srg_rows))
+register(Reader("mojang", "ProGuard", _fits_arrow, lambda spark, path, lines, nested: _arrow(spark, path, nested)))
+FORMATS = tuple(_READERS)
 
 
 def _namespaces(kind: str, header: str) -> tuple[str, str]:
@@ -244,28 +318,27 @@ def _namespaces(kind: str, header: str) -> tuple[str, str]:
 
 
 def read_mapping(spark: SparkSession, path: str, unescape: bool = False, nested_generics: bool = False, format: str | None = None) -> Mapping:
-    """One mapping file. Its format is told from its first lines unless given; ValueError if none fits or a name is empty.
+    """One mapping file. Unless a format is given, readers whose format the first lines fit are tried in order; one that
+    fails is logged and passed over. ValueError if none fits or all fail; a member without a name is a failure.
 
     A later class row replaces the class with its members; later members replace earlier ones, at the earlier place.
     """
     lines = _lines(spark, path)
     head = [r.line for r in lines.where(F.col("ord") < HEAD).orderBy("ord").collect()]
-    if format is None:
-        shown = spark.createDataFrame([(head,)], "head array<string>").select(line_format(F.col("head"))).first()[0]
-        if shown is None:
-            raise ValueError(f"could not auto-detect the format of {path}; supported: {', '.join(DISPLAY[f] for f in FORMATS)}")
-        format = shown
-    if format == "mojang":
-        rows = _arrow(spark, path, nested_generics)
-    else:
-        body = lines.where("line != ''").where(F.col("ord") > (0 if format in ("tiny-v2", "tiny-v1", "tsrg-v2") else -1))
-        if format == "srg":
-            body = body.where(~F.trim("line").startswith("#"))
-        rows = body.select("ord", _READERS[format](F.col("line")).alias("r")).where("r IS NOT NULL").select("ord", "r.*")
-        if format != "srg":
-            before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-            carry = lambda c: F.last(F.when(F.col("kind") == "c", F.col(c)), ignorenulls=True).over(before)
-            rows = rows.withColumn("owner", carry("name")).withColumn("owner_to", carry("to")).where("kind = 'c' OR owner IS NOT NULL")
+    if format is not None:
+        return _read(spark, path, lines, head, _READERS[format], unescape, nested_generics)
+    failed = []
+    for name in spark.createDataFrame([(head,)], "head array<string>").select(fitting_formats(F.col("head"))).first()[0]:
+        try:
+            return _read(spark, path, lines, head, _READERS[name], unescape, nested_generics)
+        except Exception as e:  # noqa: BLE001 - whatever a reader, registered ones included, can't read is left to the next
+            LOG.warning("reader %s rejected %s: %s", name, path, e)
+            failed.append(f"{name}: {e}")
+    raise ValueError("; ".join([f"could not auto-detect the format of {path}; supported: {', '.join(r.display for r in readers())}", *failed]))
+
+
+def _read(spark: SparkSession, path: str, lines: DataFrame, head: list[str], reader: Reader, unescape: bool, nested_generics: bool) -> Mapping:
+    rows = reader.rows(spark, path, lines, nested_generics)
     if unescape:
         for c in ("owner", "owner_to", "name", "to"):
             rows = rows.withColumn(c, unescape_name(F.col(c)))
@@ -278,7 +351,7 @@ def read_mapping(spark: SparkSession, path: str, unescape: bool = False, nested_
         raise ValueError(f"{path} has a member without a name")
     members = last_wins(reset_members(put, members), ["from_class", "kind", "from_name", "desc"], "ord", "first")
     members = members.select("from_class", "kind", "from_name", "desc", "to_name", F.col("first").alias("ord"))
-    return Mapping(classes, members, _namespaces(format, head[0] if head else ""), format)
+    return Mapping(classes, members, _namespaces(reader.format, head[0] if head else ""), reader.format)
 
 
 assert set(PRIMITIVE_NAMES.values()) == set(PRIMITIVES)

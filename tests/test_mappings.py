@@ -1,8 +1,10 @@
 """Mapping files of all formats, and the way back."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from symtransfer.sinks.tiny import write_tiny
+from symtransfer.sources import mappings
 from symtransfer.sources.mappings import read_mapping
 
 
@@ -77,6 +79,32 @@ def test_unknown_and_broken_files(spark, tmp_path):
         parsed(spark, tmp_path, "tiny\t2\t0\ta\tb\nc\ta\tb\n\tm\t\t()V\tx\n")
 
 
+def test_a_reader_that_fails_leaves_the_file_to_the_next(spark, tmp_path):
+    # the first line looks like TSRG v1, whose reader rejects the nameless member; the third like arrows
+    text = "p.Foo\tx\n\t\ty\t()V\np.Foo -> a:\n    int count -> b\n"
+    m, classes, members = parsed(spark, tmp_path, text)
+    assert m.format == "mojang" and classes == [("a", "p/Foo")] and members == [("a", "f", "b", "I", "count")]
+    with pytest.raises(ValueError, match="without a name"):
+        parsed(spark, tmp_path, text, format="tsrg-v1")
+
+
+def test_readers_can_be_registered(spark, tmp_path):
+    def rows(spark, path, lines, nested):
+        cut = F.split("line", "=")
+        none = F.lit(None).cast("string")
+        return lines.where("line LIKE '%=%'").select("ord", F.lit("c").alias("kind"), none.alias("owner"), none.alias("owner_to"), cut[0].alias("name"), none.alias("desc"), cut[1].alias("to"))
+
+    mappings.register(mappings.Reader("pairs", "Pairs", lambda head: F.get(head, F.lit(0)) == "pairs", rows))
+    try:
+        m, classes, members = parsed(spark, tmp_path, "pairs\na=p/Foo\nb=p/Bar\n")
+        assert (m.format, classes, members) == ("pairs", [("a", "p/Foo"), ("b", "p/Bar")], [])
+    finally:
+        mappings.unregister("pairs")
+    assert [r.format for r in mappings.readers()] == list(mappings.FORMATS)
+    with pytest.raises(ValueError, match="could not auto-detect"):
+        parsed(spark, tmp_path, "pairs\na=p/Foo\n")
+
+
 def test_written_files_read_the_same(spark, tmp_path):
     text = "tiny\t2\t0\tobfuscated\tnamed\nc\taaa\tp/Foo\n\tm\tx\t()V\trun\n\tm\ta\t(I)V\tgo\n\tf\ty\tI\tcount\nc\tbbb\tbbb\n\tf\tz\tJ\tzed\n"
     m, *first = parsed(spark, tmp_path, text)
