@@ -6,7 +6,9 @@ import os
 import random
 import struct
 import sys
+import time
 import zipfile
+from pathlib import Path
 
 import pyspark
 import pytest
@@ -156,6 +158,36 @@ def test_stages_can_be_cancelled_and_inputs_are_checked(spark, tmp_path, archive
         jars.run(spark, TransferConfig(str(tmp_path / "none.jar"), mapping, unmapped, str(tmp_path / "o")))
 
 
+def test_a_running_job_is_cancelled(spark):
+    started = time.monotonic()
+    with pytest.raises(jars.Cancelled), jars._cancelling(spark, lambda: time.monotonic() - started > 2, every=0.1):
+        spark.range(1).mapInPandas(lambda x: [time.sleep(60)] and x, "id long").collect()
+    assert time.monotonic() - started < 50
+    assert spark.range(3).count() == 3
+
+
+def test_unmatched_classes_are_reviewed(spark, tmp_path, archives):
+    target, _, unmapped = archives
+    mapping = tmp_path / "other.tiny"
+    mapping.write_text("tiny\t2\t0\tobfuscated\tnamed\nc\tnot/There\tx/Y\n")
+    asked = []
+
+    def ask(name, source):
+        asked.append((name, source))
+        if len(asked) == 2:
+            raise jars.SkipAll
+        return "given.Name"
+
+    overrides = spark.createDataFrame([("obfB/aab", "by.Hand")], "entity_id string, name string")
+    result = jars.run(spark, TransferConfig(target, str(mapping), unmapped, str(tmp_path / "out")), overrides=overrides, ask=ask, show=lambda path: Path(path).name)
+    names = {r.from_name: (r.to_name, r.source) for r in result.classes.collect()}
+    assert asked == [("obfB/aaa", "aaa.class"), ("obfB/aac", "aac.class")]
+    assert names == {"obfB/aaa": ("given/Name", "override"), "obfB/aab": ("by/Hand", "override"), "obfB/aac": ("obfB/aac", "identity")}
+    assert result.kept
+    result.release()
+    assert not result.kept and result.classes.storageLevel.useMemory is False
+
+
 def test_colliding_names_are_reported(spark, tmp_path, archives):
     _, _, unmapped = archives
     classes = spark.createDataFrame([("obfB/aaa", "same"), ("obfB/aab", "same")], "from_name string, to_name string")
