@@ -45,7 +45,7 @@ def wide(spark):
 
 
 #: queries whose pairs are shuffled nowhere
-IN_PLACE = ["arity_ratio", "dice_multiset", "dice_fine_reference"]
+IN_PLACE = ["arity_ratio", "dice_multiset", "dice_fine_reference", "weighted_score"]
 #: queries that bound a pair in the join
 BOUNDED = ["customer_best_match", "near_dup_documents", "best_match_documents", "threshold_match", "page_dup_match", "label_transfer_exact", "match_summary", "priority_merge", "label_transfer_lsh"]
 
