@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, chunks, cut_lineage, id_and_text, interned, read, real_id, utf8, words_of
@@ -291,37 +291,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _rare(rows: DataFrame, similarity: float) -> DataFrame:
-    """node, n (shingles), s, i: each node's rare shingles, of which any two similar nodes share one. rows: node, shingles (distinct).
+PREFIX = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("i", pa.int64())])
+#: Longs of a shingle set's sketch; the shingles that prefixes may put last.
+BITS, MOST_COMMON = 16, 10_000
 
-    With shingles in order of frequency, two similar sets share one of the first n - ceil(similarity n) + 1 of each, and
-    from the first shared one on each has as many left as both must share. Those that one row alone has come first, and go.
+
+def _prefixes(shingle: int, similarity: float, common: np.ndarray):
+    """node, n (distinct shingles), s, i: each row's first shingles, in an order that all rows share; any two similar rows have one of these in common.
+
+    common: the shingles that come last, the most frequent one at the end; the others come in order of their hashes. Any
+    order is right, so that they are a sample's costs no pair.
     """
-    each = rows.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    # written out, as in similar_components
-    often = cut_lineage(each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
-    ranked = each.join(often, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("r"))
-    first = ranked.select("node", "n", F.size("r").alias("m"), F.posexplode("r").alias("k", "e"))
-    first = first.select("node", "n", F.col("e.s").alias("s"), (F.col("n") - F.col("m") + F.col("k")).alias("i"))
-    return cut_lineage(first.where(F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6)))
+    sorter = np.argsort(common)
+    ordered = common[sorter]
 
+    def run(batches):
+        for batch in batches:
+            ends, buf = utf8(batch["text"])
+            for a, b in chunks(ends, 1 << 20):
+                h, row = _shingles(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
+                if not len(h):
+                    continue
+                late = np.zeros(len(h), np.int64)
+                if len(ordered):
+                    at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
+                    late = np.where(ordered[at] == h, sorter[at] + 1, 0)
+                order = np.lexsort((h, late, row))
+                h, row = h[order], row[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
+                h, row = h[new], row[new]
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                size = np.diff(np.append(first, len(row)))
+                n = np.repeat(size, size)
+                i = np.arange(len(row)) - np.repeat(first, size)
+                few = i <= n - np.ceil(similarity * n - 1e-6)
+                node = batch["node"].slice(a, b - a).take(pa.array(row[few]))
+                yield pa.RecordBatch.from_arrays([node, pa.array(n[few]), pa.array(h[few].view(np.int64)), pa.array(i[few])], schema=PREFIX)
 
-def _met_at(rare: DataFrame, root: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Pairs a > b of nodes of different groups that may be similar, at most two for each group at each rare shingle.
+    return run
 
-    There each group sends one of its nodes, and two of these lead: every other one is paired with both. Which ones is
-    drawn anew for each shingle and turn, so of two groups that share some rare shingles one leads at one of them soon.
-    """
-    drawn = lambda *what: F.xxhash64(*what, F.lit(turn))
-    rows = rare.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    one = F.struct("node", "n", "i")
-    # first those with the most left to share
-    sent = rows.groupBy("s", "root").agg(F.max_by(one, F.col("n") - F.col("i") if turn == 0 else drawn("node", "s")).alias("x"))
-    leaders = sent.groupBy("s").agg(F.count("*").alias("groups"), F.min_by(F.struct("root", "x"), drawn("root", "s")).alias("p"), F.max_by(F.struct("root", "x"), drawn("root", "s")).alias("q")).where("groups > 1")
-    met = sent.join(leaders.select("s", F.explode(F.array("p", "q")).alias("l")), "s").where("root != l.root").select("x.*", F.col("l.x.node").alias("xnode"), F.col("l.x.n").alias("xn"), F.col("l.x.i").alias("xi"))
-    share = similarity / (1 + similarity)
-    met = met.where(F.least(F.col("n") - F.col("i"), F.col("xn") - F.col("xi")) >= share * (F.col("n") + F.col("xn")) - 1e-6)
-    return met.select(F.greatest("node", "xnode").alias("a"), F.least("node", "xnode").alias("b")).distinct()
+
+def _bits(shingle: int):
+    """node and BITS longs: a bit for each shingle of the row."""
+
+    def run(batches):
+        for batch in batches:
+            ends, buf = utf8(batch["text"])
+            for a, b in chunks(ends, 1 << 20):
+                h, row = _shingles(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a], shingle)
+                out = np.zeros((b - a, BITS), np.uint64)
+                np.bitwise_or.at(out, (row, ((h >> np.uint64(6)) % np.uint64(BITS)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), *[pa.array(out[:, k].view(np.int64)) for k in range(BITS)]], names=["node", *[f"b{k}" for k in range(BITS)]])
+
+    return run
+
+
+def _common(rows: DataFrame, shingle: int) -> np.ndarray:
+    """The most frequent shingles of every 16th document by hash, rarest first. They only order prefixes."""
+    sample = rows.where("pmod(xxhash64(node), 16) = 0").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>")
+    often = sample.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 3")
+    found = often.orderBy(F.desc("df"), "s").limit(MOST_COMMON).collect()
+    return np.array([r.s for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _unseen(rows: DataFrame, root: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs a > b of nodes of different groups that may be similar: all that are, by prefix filter, positions and sketches."""
+    within = Window.partitionBy("s")
+    prefix = rows.select("node", "text").mapInArrow(_prefixes(shingle, similarity, _common(rows, shingle)), "node long, n long, s long, i long")
+    # one shuffle of the prefixes; shingles of one node alone go
+    met = prefix.withColumns({"low": F.min("node").over(within), "high": F.max("node").over(within)}).where("low != high").select("node", "n", "s", "i")
+    met = met.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = met.withColumns({"low": F.min("root").over(within), "high": F.max("root").over(within)}).where("low != high").drop("low", "high").dropDuplicates(["s", "node"])
+    met = cut_lineage(met)
+    wanted = met.select("node").distinct()
+    bits = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_bits(shingle), "node long, " + ", ".join(f"b{k} long" for k in range(BITS))).dropDuplicates(["node"])
+    bits = bits.withColumn("ones", F.expr(" + ".join(f"bit_count(b{k})" for k in range(BITS))))
+    met = cut_lineage(met.join(bits, "node").withColumn("x", F.col("n") - F.col("ones")).drop("ones"))
+    l, r = (met.select("s", *[F.col(c).alias(m + c) for c in met.columns if c != "s"]) for m in ("l_", "r_"))  # noqa: E741
+    share = f"{similarity / (1 + similarity)!r}D * (l_n + r_n) - 1e-6D"
+    most = " + ".join(f"bit_count(l_b{k} & r_b{k})" for k in range(BITS)) + " + least(l_x, r_x)"
+    pairs = l.join(r, "s").where(f"l_node > r_node AND l_root != r_root AND least(l_n - l_i, r_n - r_i) >= {share} AND {most} >= {share}")
+    return pairs.select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
 
 
 def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
@@ -334,17 +384,17 @@ def _joined(root: DataFrame, more: DataFrame) -> DataFrame:
     return root.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(moved)
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 12, sample: int = 4, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tables: int = 12, sample: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of similar texts: node (a 64-bit hash of identifier and text), id, keep_id and kept, of the texts in groups of two or more.
 
     Texts are linked whose sets of word shingles have a Jaccard similarity of `similarity` or more, exactly verified.
     Candidates are those whose fingerprints of all shingles differ in at most two bits (the popcount grid), and those
     with equal fingerprints of a few shingles drawn alike from both (`tables` draws of `sample`): two texts of similarity
     s share one with probability 1 - (1 - s^sample)^tables, 0.998 at the defaults. Each candidate is compared with the
-    first and the last of those it meets. Where four or more meet and don't all become one group, they meet again at
-    their rare shingles, as an exact prefix filter picks them: up to three groups at a shingle are all compared, more of
-    them with two leaders that change from shingle to shingle and turn to turn, in `turns` turns. So pairs grow with the input and not with the square of a crowd; a link between groups can stay
-    unseen where scores of groups share each of its rare shingles (tests/llm measures recall). Texts without words have no links,
+    first and the last of those it meets. Then what these did not see is found exactly: with shingles in one order for all,
+    two similar texts share one of their first n - ceil(similarity n) + 1, and nodes of different groups that meet there are
+    compared unless their places or sketches rule the similarity out. So no link between groups is lost, and pairs of one
+    group are not made again. Texts without words have no links,
     null and empty ones among them. Rows that repeat identifier and text are one node; a null identifier ranks last; an
     empty table gives no rows; other columns are ignored; long texts are compared whole.
     """
@@ -365,20 +415,11 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     sets = cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles")))
     verified = cut_lineage(_verified(pairs, sets, similarity))
     root = components(verified)
-    # two or three that meet are all compared above
-    crowd = drawn.join(met.where("n > 3").select("t", "value"), ["t", "value"]).join(root, "node", "left")
-    crowd = cut_lineage(crowd.select("t", "value", "node", F.coalesce("root", "node").alias("root")))
-    several = crowd.groupBy("t", "value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("t", "value")
-    open_nodes = cut_lineage(crowd.join(several, ["t", "value"]).select("node").distinct())
-    if not open_nodes.isEmpty():
-        rare = _rare(open_nodes.join(sets, "node"), similarity)
-        more = None
-        for turn in range(turns):
-            rest = cut_lineage(_met_at(rare, root, similarity, turn).join(pairs, ["a", "b"], "left_anti"))
-            found = _verified(rest, sets, similarity)
-            more = found if more is None else more.unionByName(found)
-            pairs = pairs.unionByName(rest)
-        root = _joined(root, more)
+    rest = cut_lineage(_unseen(rows, root, similarity, shingle).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        wanted = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
+        root = _joined(root, _verified(rest, cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles"))), similarity))
     nodes = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())
     nodes = nodes.join(own.select("id", "node").distinct(), "node")
     kept = nodes.groupBy("root").agg(F.min(point).alias("low"))
