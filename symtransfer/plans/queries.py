@@ -345,6 +345,9 @@ def _near_duplicates(words: DataFrame) -> DataFrame:
     lsh = MinHash(LSH.num_hashes, LSH.num_bands)
     bands = lsh.bands(lsh.signatures(reps.select("entity_id", F.explode("w").alias("element")), reps.select("entity_id")))
     hashed = reps.select("entity_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    # most buckets have one entity, and go before sketches are sent
+    within = Window.partitionBy("band", "band_hash")
+    bands = bands.withColumns({"low": F.min("entity_id").over(within), "high": F.max("entity_id").over(within)}).where("low != high").drop("low", "high")
     met = bands.join(_sketched(hashed, 8), "entity_id")
     named = lambda df, own, m: df.select(F.col("entity_id").alias(own), *[F.col(c).alias(c if c[:4] == "band" else m + c) for c in df.columns if c != "entity_id"])
     pairs = named(met, "u", "l_").join(named(met, "t", "r_"), ["band", "band_hash"]).where("u < t").where(_may_share_half(8)).select("u", "t").distinct()

@@ -84,3 +84,13 @@ def test_scored_pairs_are_not_sorted(wide, name):
         if "SortMergeJoin" in line and "bit_count" in line:
             above = [lines[i] for i in range(k) if depth[i] < min(depth[i + 1 : k + 1])]
             assert "HashAggregate" in next(x for x in reversed(above) if "Sort [" in x or "Aggregate" in x)
+
+
+#: queries that send sketches only to buckets where entities meet
+MEETING = ["near_dup_documents"]
+
+
+@pytest.mark.parametrize("name", MEETING)
+def test_sketches_go_to_buckets_of_several_entities_only(wide, name):
+    lines = QUERIES[name](wide, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("Filter" in line and "(low#" in line and "= high#" in line for line in lines)
