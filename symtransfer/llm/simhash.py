@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, cut_lineage, id_and_text, interned, read, real_id, utf8, words_of
+from .common import NO_ID, chunks, cut_lineage, id_and_text, interned, let_go, read, real_id, utf8, words_of
 from .shared_spans import _BYTE, _kgrams, _mix, _spans_hash
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -291,6 +291,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _long_sketches(batches):
+    """node, n and bits of shingle sets: about four bits a shingle, as a power of two of longs."""
+    for batch in batches:
+        lists = batch["shingles"]
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+        n = np.diff(ends)
+        longs = 1 << np.ceil(np.log2(np.maximum(n / 16, 1))).astype(np.int64)
+        at = np.r_[0, np.cumsum(longs)]
+        out = np.zeros(at[-1], np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        np.bitwise_or.at(out, at[row] + ((h >> np.uint64(6)) & (longs[row] - 1).astype(np.uint64)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+        bits = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(out.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(n), bits], names=["node", "n", "bits"])
+
+
+def _may_be_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) but those whose long sketches rule the similarity out: whole sets are sent for the others alone."""
+    long = sets.select("node", "shingles").mapInArrow(_long_sketches, "node long, n long, bits array<long>")
+    both = pairs
+    for own, m in (("a", "l_"), ("b", "r_")):
+        both = both.join(long.select(F.col("node").alias(own), *[F.col(c).alias(m + c) for c in ("n", "bits")]), own)
+    # the longer sketch is folded to the other's length, where more shingles share a bit
+    part = lambda m, o: f"transform(slice({m}bits, 1, least(size({m}bits), size({o}bits))), (v, i) -> aggregate(sequence(i, size({m}bits) - 1, size({o}bits)), v, (s, k) -> s | {m}bits[k]))"
+    both = both.select("a", "b", "l_n", "r_n", F.expr(part("l_", "r_")).alias("l"), F.expr(part("r_", "l_")).alias("r"))
+    beyond = lambda m: f"{m}_n - aggregate({m}, 0L, (s, v) -> s + bit_count(v))"
+    shared = "aggregate(zip_with(l, r, (p, q) -> bit_count(p & q)), 0L, (s, c) -> s + c)"
+    return both.where(f"{shared} + least({beyond('l')}, {beyond('r')}) >= {similarity / (1 + similarity)!r}D * (l_n + r_n) - 1e-6D").select("a", "b")
+
+
 PREFIX = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("i", pa.int64())])
 #: Longs of a shingle set's sketch; the shingles that prefixes may put last.
 BITS, MOST_COMMON = 16, 10_000
@@ -354,6 +384,24 @@ def _common(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.array([r.s for r in reversed(found)], np.int64).view(np.uint64)
 
 
+def _seen(rows: DataFrame, own: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs a > b that meet by fingerprints, and the components of those that are similar."""
+    point = F.struct("id", "node")
+    drawn = own.select("id", "node", F.posexplode("tables").alias("t", "value"))
+    met = cut_lineage(drawn.groupBy("t", "value").agg(F.min(point).alias("low"), F.max(point).alias("high"), F.count("*").alias("n")).where("low.node != high.node"))
+    pairs = drawn.join(met, ["t", "value"]).select("node", F.explode(F.array("low.node", "high.node")).alias("other"))
+    prints = own.groupBy("fp").agg(F.min(point).alias("low"))
+    near = links(prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("low.node").alias("node")), "a").join(prints.select(F.col("fp").alias("b"), F.col("low.node").alias("other")), "b")
+    same = own.join(prints, "fp").select("node", F.col("low.node").alias("other"))
+    pairs = pairs.unionByName(near.select("node", "other")).unionByName(same).where("node != other")
+    pairs = cut_lineage(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
+    # written out, so the joins below deal both sides only for themselves and a crowded leader's pairs can be split
+    sets = cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles")))
+    return pairs, components(_verified(pairs, sets, similarity))
+
+
 def _unseen(rows: DataFrame, root: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Pairs a > b of nodes of different groups that may be similar: all that are, by prefix filter, positions and sketches."""
     within = Window.partitionBy("s")
@@ -363,10 +411,14 @@ def _unseen(rows: DataFrame, root: DataFrame, similarity: float, shingle: int) -
     met = met.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     met = met.withColumns({"low": F.min("root").over(within), "high": F.max("root").over(within)}).where("low != high").drop("low", "high").dropDuplicates(["s", "node"])
     met = cut_lineage(met)
+    del prefix
+    let_go(rows.sparkSession)
     wanted = met.select("node").distinct()
     bits = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_bits(shingle), "node long, " + ", ".join(f"b{k} long" for k in range(BITS))).dropDuplicates(["node"])
     bits = bits.withColumn("ones", F.expr(" + ".join(f"bit_count(b{k})" for k in range(BITS))))
     met = cut_lineage(met.join(bits, "node").withColumn("x", F.col("n") - F.col("ones")).drop("ones"))
+    del bits, wanted
+    let_go(rows.sparkSession)
     l, r = (met.select("s", *[F.col(c).alias(m + c) for c in met.columns if c != "s"]) for m in ("l_", "r_"))  # noqa: E741
     share = f"{similarity / (1 + similarity)!r}D * (l_n + r_n) - 1e-6D"
     most = " + ".join(f"bit_count(l_b{k} & r_b{k})" for k in range(BITS)) + " + least(l_x, r_x)"
@@ -400,29 +452,18 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("node", F.xxhash64("id", "text"))
     own = cut_lineage(rows.mapInArrow(_sketches(shingle, tables, sample), "id long, node long, fp long, tables array<long>"))
-    point = F.struct("id", "node")
-    drawn = own.select("id", "node", F.posexplode("tables").alias("t", "value"))
-    met = cut_lineage(drawn.groupBy("t", "value").agg(F.min(point).alias("low"), F.max(point).alias("high"), F.count("*").alias("n")).where("low.node != high.node"))
-    pairs = drawn.join(met, ["t", "value"]).select("node", F.explode(F.array("low.node", "high.node")).alias("other"))
-    prints = own.groupBy("fp").agg(F.min(point).alias("low"))
-    near = links(prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("low.node").alias("node")), "a").join(prints.select(F.col("fp").alias("b"), F.col("low.node").alias("other")), "b")
-    same = own.join(prints, "fp").select("node", F.col("low.node").alias("other"))
-    pairs = pairs.unionByName(near.select("node", "other")).unionByName(same).where("node != other")
-    pairs = cut_lineage(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
-    # written out, so the joins below deal both sides only for themselves and a crowded leader's pairs can be split
-    sets = cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles")))
-    verified = cut_lineage(_verified(pairs, sets, similarity))
-    root = components(verified)
+    pairs, root = _seen(rows, own, similarity, shingle)
+    let_go(rows.sparkSession)
     rest = cut_lineage(_unseen(rows, root, similarity, shingle).join(pairs, ["a", "b"], "left_anti"))
+    let_go(rows.sparkSession)
     if not rest.isEmpty():
         wanted = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
-        root = _joined(root, _verified(rest, cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles"))), similarity))
+        sets = cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles")))
+        root = _joined(root, _verified(_may_be_similar(rest, sets, similarity), sets, similarity))
     nodes = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())
     nodes = nodes.join(own.select("id", "node").distinct(), "node")
-    kept = nodes.groupBy("root").agg(F.min(point).alias("low"))
+    kept = nodes.groupBy("root").agg(F.min(F.struct("id", "node")).alias("low"))
     return nodes.join(kept, "root").select("node", "id", F.col("low.id").alias("keep_id"), (F.col("low.node") == F.col("node")).alias("kept"))
 
 
