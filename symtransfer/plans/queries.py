@@ -330,21 +330,31 @@ def _may_share_half(longs: int) -> str:
     return "3 * (" + " + ".join(f"bit_count(l_b{i} & r_b{i})" for i in range(longs)) + " + least(l_x, r_x)) >= l_n + r_n"
 
 
-def _near_duplicates(words: DataFrame) -> DataFrame:
+def _word_sets(texts: DataFrame) -> DataFrame:
+    """entity_id, h: the 64-bit hashes of an entity's different words; entities without words are not in it. texts: entity_id, text.
+
+    Words become hashes where their text is read, so hashes alone are shuffled. An entity in several rows has the words of all.
+    """
+    words = F.array_distinct(F.filter(F.split("text", "[ \n]+"), lambda x: x != ""))
+    # the first 16 digits of the MD5: half of them is what MinHash takes
+    rows = texts.where("entity_id IS NOT NULL").select("entity_id", F.transform(words, lambda x: F.conv(F.substring(F.md5(x), 1, 16), 16, -10).cast("long")).alias("h"))
+    rows = rows.where("size(h) > 0").repartition("entity_id")
+    return rows.groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("h"))
+
+
+def _near_duplicates(texts: DataFrame) -> DataFrame:
     """u, t, shared, total: pairs of representatives that share a band and half their words, and each copy with its representative.
 
     Only one entity of those with equal word sets reaches the bands, so copies make no pairs among themselves. A sketch
     of each set goes with its bands and bounds what two sets share, so only pairs that may be similar are shuffled;
     these are compared on the sets' 64-bit hashes.
     """
-    # without a null key, which meets nothing, both uses below are one exchange
-    sets = words.where("entity_id IS NOT NULL").groupBy("entity_id").agg(F.collect_set("element").alias("w"))
-    copies = sets.select("entity_id", F.sha2(F.array_join(F.sort_array("w"), "\n"), 256).alias("key"), F.size("w").cast("long").alias("n"))
+    sets = _word_sets(texts)
+    copies = sets.select("entity_id", F.sha2(F.array_join(F.transform(F.sort_array("h"), lambda x: x.cast("string")), ","), 256).alias("key"), F.size("h").cast("long").alias("n"))
     least = copies.groupBy("key").agg(F.min("entity_id").alias("rep"))
-    reps = sets.join(least.select(F.col("rep").alias("entity_id")), "entity_id", "left_semi")
+    hashed = sets.join(least.select(F.col("rep").alias("entity_id")), "entity_id", "left_semi")
     lsh = MinHash(LSH.num_hashes, LSH.num_bands)
-    bands = lsh.bands(lsh.signatures(reps.select("entity_id", F.explode("w").alias("element")), reps.select("entity_id")))
-    hashed = reps.select("entity_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    bands = lsh.bands(lsh.signatures_of_hashes(hashed.select("entity_id", F.explode("h").alias("h")).select("entity_id", (F.shiftrightunsigned("h", 32) - F.lit(2147483648)).alias("h"))))
     # most buckets have one entity, and go before sketches are sent
     within = Window.partitionBy("band", "band_hash")
     bands = bands.withColumns({"low": F.min("entity_id").over(within), "high": F.max("entity_id").over(within)}).where("low != high").drop("low", "high")
@@ -374,7 +384,7 @@ k AS (SELECT u, t, shared, x.n + y.n - shared AS total FROM j JOIN n x ON x.enti
 
 @query(RECALL_SQL + ", " + NEAR_SQL)
 def near_dup_documents(spark, sf):
-    return _near_duplicates(frontends.document_words(spark, sf, distinct=False))
+    return _near_duplicates(table(spark, sf, "documents").select(F.col("doc_id").alias("entity_id"), "text"))
 
 
 LINE_SETS_SQL = "words AS (SELECT DISTINCT doc_id AS entity_id, w AS element FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS w FROM documents) WHERE trim(w) <> '')"
@@ -598,8 +608,7 @@ PAGE_WORDS_SQL = "words AS (SELECT DISTINCT page_id AS entity_id, w AS element F
 
 @query(f"WITH {PAGE_WORDS_SQL}, {signature_sql(128, ids='(SELECT page_id AS entity_id FROM pages)')}, {bands_sql(128, 32)}" + RECALL_SQL[len(FULL_SQL) :] + ", " + NEAR_SQL)
 def page_dup_match(spark, sf):
-    rows = table(spark, sf, "pages").select(F.col("page_id").alias("entity_id"), F.explode(F.split(F.coalesce("html", F.lit("")), "[ \n]+")).alias("element")).where("element != ''")
-    return _near_duplicates(rows)
+    return _near_duplicates(table(spark, sf, "pages").select(F.col("page_id").alias("entity_id"), F.col("html").alias("text")))
 
 
 @query(LSH_PAIRS_SQL + " SELECT u, t FROM near")
