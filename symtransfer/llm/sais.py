@@ -25,11 +25,14 @@ def concat(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text, starts
 
 
-def _packed(text: np.ndarray) -> np.ndarray:
-    """Four symbols from each place on, as one integer (the first in the lowest bits)."""
-    t = np.concatenate([text, np.zeros(3, np.uint16)]).astype(np.uint64)
-    n = len(text)
-    return t[:n] | t[1 : n + 1] << np.uint64(16) | t[2 : n + 2] << np.uint64(32) | t[3 : n + 3] << np.uint64(48)
+def _packed(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """As many symbols from each place on as an integer holds (the first in the lowest bits), and a symbol's bits, 8 or 16."""
+    bits = 8 if len(text) and text.max() < 256 else 16
+    x, step = text.astype(np.uint64), 1
+    while step * bits < 64:
+        x[:-step] |= x[step:] << np.uint64(step * bits)
+        step *= 2
+    return x, bits
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -42,101 +45,122 @@ def _smaller(text: np.ndarray) -> np.ndarray:
     return up[np.minimum.accumulate(place[::-1])[::-1]]
 
 
-def _deal(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stable order by character, the sorted characters, each one's number within its character, and counts."""
+def _deal(chars: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stable order by character, how many there are of each, and each one's place in that order less its character's first."""
     order = np.argsort(chars, kind="stable")
-    chars = chars[order]
-    counts = np.bincount(chars)
-    first = np.cumsum(counts) - counts
-    return order, chars, np.arange(len(chars)) - first[chars], counts
+    counts = np.bincount(chars, minlength=size)
+    return order, counts, np.arange(len(chars)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All suffixes in order, induced from leftmost-smaller ones in the order given."""
     n = len(text)
     size = int(text.max()) + 1
+    if size <= 256:  # in one byte they are dealt out in one pass
+        text = text.astype(np.uint8)
     counts = np.bincount(text, minlength=size)
     tails = np.cumsum(counts)
     heads = tails - counts
     large = np.bincount(text[~small], minlength=size)
     sa = np.full(n, -1, np.int32)
     seeds = lms[text[lms] != 0]
-    order, chars, number, seeded = _deal(text[seeds])
-    seeded = np.pad(seeded, (0, size - len(seeded)))
-    sa[tails[chars] - seeded[chars] + number] = seeds[order]
+    order, seeded, number = _deal(text[seeds], size)
+    sa[np.repeat(tails - seeded, seeded) + number] = seeds[order]
     sa[: len(ends)] = ends
-    present = np.flatnonzero(counts)
+    present = np.flatnonzero(counts).tolist()
     at = heads.copy()
     for c in present:
+        parts = []  # what a suffix of this bucket has before it, and its character
         if c:
             seen = heads[c]
             while at[c] > seen:
                 before = sa[seen : at[c]] - 1
                 seen = at[c]
                 before = before[before >= 0]
-                before = before[text[before] == c]
+                chars = text[before]
+                parts.append((before, chars))
+                before = before[chars == c]
                 sa[seen : seen + len(before)] = before
                 at[c] += len(before)
-            found = np.concatenate([sa[heads[c] : at[c]], sa[tails[c] - seeded[c] : tails[c]]])
+            found = sa[tails[c] - seeded[c] : tails[c]]
         else:
             found = sa[: len(ends)]
         before = found - 1
         before = before[before >= 0]
-        before = before[text[before] > c]
+        parts.append((before, text[before]))
+        before, chars = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
+        up = chars > c
+        before, chars = before[up], chars[up]
         if len(before):
-            order, chars, number, more = _deal(text[before])
-            sa[at[chars] + number] = before[order]
-            at[: len(more)] += more
+            order, more, number = _deal(chars, size)
+            sa[np.repeat(at, more) + number] = before[order]
+            at += more
     at = tails.copy()
     for c in present[:0:-1]:
+        parts = []
         seen = tails[c]
         while at[c] < seen:
             before = sa[at[c] : seen][::-1] - 1
             seen = at[c]
             before = before[before >= 0]
-            before = before[text[before] == c]
+            chars = text[before]
+            parts.append((before, chars))
+            before = before[chars == c]
             sa[seen - len(before) : seen] = before[::-1]
             at[c] -= len(before)
-        before = np.concatenate([sa[at[c] : tails[c]][::-1], sa[heads[c] : heads[c] + large[c]][::-1]]) - 1
+        before = sa[heads[c] : heads[c] + large[c]][::-1] - 1
         before = before[before >= 0]
-        chars = text[before]
-        before = before[(chars < c) & (chars > 0)]
+        parts.append((before, text[before]))
+        before, chars = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
+        down = (chars < c) & (chars > 0)
+        before, chars = before[down], chars[down]
         if len(before):
-            order, chars, number, more = _deal(text[before])
-            sa[at[chars] - 1 - number] = before[order]
-            at[: len(more)] -= more
+            order, more, number = _deal(chars, size)
+            sa[np.repeat(at, more) - 1 - number] = before[order]
+            at -= more
     return sa
 
 
-def _same(packed: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _same(packed: tuple[np.ndarray, int], a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether `size` symbols are the same at a and at b."""
+    packed, bits = packed
+    most = 64 // bits
     same = np.ones(len(a), bool)
     live, done = np.arange(len(a)), 0
-    masks = np.array([0, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFF], np.uint64)
+    masks = np.array([(1 << k * bits) - 1 for k in range(most + 1)], np.uint64)
     while len(live):
         left = size[live] - done
-        differs = ((packed[a[live] + done] ^ packed[b[live] + done]) & masks[np.minimum(left, 4)]) != 0
+        differs = ((packed[a[live] + done] ^ packed[b[live] + done]) & masks[np.minimum(left, most)]) != 0
         same[live[differs]] = False
-        live = live[~differs & (left > 4)]
-        done += 4
+        live = live[~differs & (left > most)]
+        done += most
     return same
 
 
 def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a reduced text, in which the last name is unique and smallest or an end."""
-    n, rank, h = len(names), names.astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - h] += rank[h:] + 1
-        order = np.argsort(key)
-        key = key[order]
-        new = np.empty(n, bool)
-        new[0] = False
-        new[1:] = key[1:] != key[:-1]
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1 or h >= n:
-            return order
+    """Order of the suffixes of a reduced text, in which the last name is unique and smallest or an end.
+
+    Suffixes that are told apart have their place; each round sorts the others alone.
+    """
+    n, h = len(names), 1
+    order, place = np.arange(n), np.arange(n)
+    rank = names.astype(np.int64)
+    while len(place):
+        left = order[place]
+        key = rank[left] * (n + 1)
+        more = left + h < n
+        key[more] += rank[left[more] + h] + 1
+        by = np.argsort(key)
+        left, key = left[by], key[by]
+        order[place] = left
+        new = np.ones(len(key) + 1, bool)
+        new[1:-1] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        # a rank is the place of the first suffix that is not told apart
+        rank[left] = np.repeat(place[first[:-1]], np.diff(first))
+        place = place[~(new[:-1] & new[1:])]
         h *= 2
+    return order
 
 
 #: A reduced text of so many names is sorted by doubling, in about half the time that a recursion takes.
@@ -164,7 +188,7 @@ def _reduced_order(names: np.ndarray, n: int) -> np.ndarray:
     return order[np.argsort(names[order], kind="stable")]
 
 
-def suffix_array(text: np.ndarray, packed: np.ndarray | None = None) -> np.ndarray:
+def suffix_array(text: np.ndarray, packed: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """text: uint16 symbols, the last one 0."""
     n = len(text)
     if n <= 1:
@@ -193,13 +217,13 @@ def suffix_array(text: np.ndarray, packed: np.ndarray | None = None) -> np.ndarr
     return _induce(text, small, lms[_reduced_order(names[lms], n)], ends)
 
 
-def permuted_lcp(text: np.ndarray, sa: np.ndarray, packed: np.ndarray | None = None) -> np.ndarray:
+def permuted_lcp(text: np.ndarray, sa: np.ndarray, packed: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """By place, the common prefix of a suffix with the one before it in order.
 
     Only irreducible values are found by comparing; each other one is its left neighbour's less one.
     """
     n = len(text)
-    packed = _packed(text) if packed is None else packed
+    packed, bits = _packed(text) if packed is None else packed
     phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
     place = np.arange(n, dtype=np.int32)
@@ -210,11 +234,18 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, packed: np.ndarray | None = N
     most = np.minimum(stop[own] - own, stop[phi[own]] - phi[own])
     got = np.zeros(len(own), np.int64)
     live, done = np.flatnonzero(most > 0), 0
+    a, b = own[live], phi[own[live]].astype(np.int64)
     while len(live):
-        x = packed[own[live] + done] ^ packed[phi[own[live]] + done]
-        got[live] = done + np.where(x == 0, 4, np.where(x & np.uint64(0xFFFF), 0, np.where(x & np.uint64(0xFFFFFFFF), 1, np.where(x & np.uint64(0xFFFFFFFFFFFF), 2, 3))))
-        done += 4
-        live = live[(x == 0) & (most[live] > done)]
+        x = packed[a + done] ^ packed[b + done]
+        differs = x != 0
+        # its lowest bit is in the first symbol that differs
+        y = x[differs]
+        got[live[differs]] = done + (np.bitwise_count((y & (~y + np.uint64(1))) - np.uint64(1)) // bits).astype(np.int64)
+        done += 64 // bits
+        same = np.flatnonzero(~differs)
+        got[live[same]] = done
+        same = same[most[live[same]] > done]
+        live, a, b = live[same], a[same], b[same]
     value = np.zeros(n, np.int64)
     value[own] = np.minimum(got, most) + own
     return (np.maximum(np.maximum.accumulate(value) - place, 0)).astype(np.int32)

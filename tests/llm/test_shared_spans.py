@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from symtransfer.llm import sais
@@ -166,3 +167,31 @@ def test_queries_match_brute_force_on_documents(spark):
     assert {tuple(r) for r in op6_suffix_array_dedup(spark, sf).collect()} == want
     want = {(i, size, n, sha(b" ".join(k))) for (i, _), (k, n, s, size) in zip(rows, brute(rows, 13, lambda t: t.encode().split()), strict=True)}
     assert {tuple(r) for r in op10_suffix_automaton_dedup(spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("top", [90, 255])
+def test_long_common_prefixes_of_narrow_and_wide_symbols(top):
+    """Prefixes beyond 255 symbols, with eight and with four symbols to an integer; suffixes that are told apart are not sorted again."""
+    rng = random.Random(5)
+    shared = bytes(rng.choices([88, 89, top], k=700))
+    strings = [shared, b"Z" + shared[:300], shared[5:] + b"Y", b"X" * 300]
+    symbols = [c for k, s in enumerate(strings) for c in [*(1000 + x for x in s), k]]
+    text, _ = concat(strings)
+    packed, bits = sais._packed(text)
+    assert bits == (8 if top < 255 else 16)
+    order = suffix_array(text, (packed, bits))
+    assert order.tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:])
+    common = permuted_lcp(text, order, (packed, bits))
+    for a, b in zip(order[1:], order, strict=False):
+        n = 0
+        while symbols[a + n] == symbols[b + n]:
+            n += 1
+        assert common[a] == n
+    names = np.array([3, 1, 2, 1, 2, 1, 2, 4, 1, 2, 0])
+    sizes = []
+    argsort = np.argsort
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(np, "argsort", lambda x, *a, **k: sizes.append(len(x)) or argsort(x, *a, **k))
+        order = sais._by_doubling(names)
+    assert order.tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+    assert sizes[:2] == [11, 6]
