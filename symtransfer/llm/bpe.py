@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, read, real_id, with_fields
+from .common import giving_back, id_and_text, read, real_id, with_fields
 
 #: Pieces of more bytes than this are encoded as trees.
 LONG = 512
@@ -217,7 +217,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 ids = [enc.encode(t) for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=ENCODED)
 
-    out = id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids binary")
+    out = id_and_text(docs, id_col, text_col).mapInArrow(giving_back(run), "id long, n_tokens long, ids binary")
     return out.select(real_id().alias(id_col), "n_tokens", "ids")
 
 
@@ -232,7 +232,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str
                 texts = [None if x is None else enc.decode(x) for x in part[ids_col].to_pylist()]
                 yield part.append_column(out_col, pa.array(texts, pa.string()))
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(giving_back(run), schema)
 
 
 def with_ids_sha256(encoded: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def with_ids_sha256(encoded: DataFrame) -> DataFrame:
                 got.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
             yield batch.select(names).append_column("ids_sha256", pa.array(got, pa.string()))
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(giving_back(run), schema)
 
 
 def op3_tree_bpe(spark, sf_dir):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,18 @@ def let_go(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def giving_back(run: Callable) -> Callable:
+    """A mapInArrow function that, once through, gives freed memory back to the machine: workers live on for later stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import NO_ID, WHITE, groups_for, id_and_text, read, real_id, text_bytes
+from .common import NO_ID, WHITE, giving_back, groups_for, id_and_text, read, real_id, text_bytes
 
 Value = tuple  # characters (negated), identifier, rows, digest, and what else belongs to the row
 
@@ -180,9 +180,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = id_and_text(docs, id_col, text_col)
     limit = int(memory_mb * 1e6)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups_for(text_bytes(rows), part_mb))
-    entries = rows.mapInArrow(_collapsed(limit), "size long, digest binary, content binary, chars long, id long, n long")
-    owners = entries.repartition(parts, "size", "digest").mapInArrow(_owners(limit), "size long, digest binary, keep_id long, n long")
-    out = rows.mapInArrow(_rows, "id long, size long, digest binary, chars long").join(owners, ["size", "digest"])
+    entries = rows.mapInArrow(giving_back(_collapsed(limit)), "size long, digest binary, content binary, chars long, id long, n long")
+    owners = entries.repartition(parts, "size", "digest").mapInArrow(giving_back(_owners(limit)), "size long, digest binary, keep_id long, n long")
+    out = rows.mapInArrow(giving_back(_rows), "id long, size long, digest binary, chars long").join(owners, ["size", "digest"])
     return out.select(
         real_id().alias(id_col), real_id("keep_id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -243,8 +243,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
         if schema is not None:
             yield from batches_of(trie, schema, False)
 
-    entries = plain.mapInArrow(collapse, StructType([StructField("size", LongType()), StructField("hash", LongType()), *plain.schema.fields]))
-    return entries.repartition(parts, "size", "hash").mapInArrow(owners, plain.schema).toDF(*docs.columns)
+    entries = plain.mapInArrow(giving_back(collapse), StructType([StructField("size", LongType()), StructField("hash", LongType()), *plain.schema.fields]))
+    return entries.repartition(parts, "size", "hash").mapInArrow(giving_back(owners), plain.schema).toDF(*docs.columns)
 
 
 def op4_patricia_exact_dedup(spark, sf_dir):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ByWord, encoder, tokenizer_path
-from .common import id_and_text, read, real_id, with_fields
+from .common import giving_back, id_and_text, read, real_id, with_fields
 
 PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
@@ -66,7 +66,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0,
                         out.append((own, piece, a // 4, len(cut) // 4, cut))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*out, strict=True)), PIECES, strict=True)], schema=PIECES)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, piece int, start long, length long, ids binary")
+    return id_and_text(docs, id_col, text_col).mapInArrow(giving_back(run), "id long, piece int, start long, length long, ids binary")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, groups: int) -> DataFrame:

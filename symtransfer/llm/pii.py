@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, id_and_text, read, real_id, with_fields
+from .common import cut_lineage, giving_back, id_and_text, read, real_id, with_fields
 
 #: What may stand between the groups of a phone number, marks that noise has put after words included.
 _GAP = r"(?:[!#$%&*]{0,3}(?: \| |[ .\-]))?"
@@ -264,7 +264,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = [[{"start": a, "stop": b, "kind": k, "canonical": c} for a, b, k, c in entities(t)] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, _FOUND)], names=["id", "mentions"])
 
-    out = id_and_text(docs, id_col, text_col).mapInArrow(run, f"id long, mentions {FOUND}")
+    out = id_and_text(docs, id_col, text_col).mapInArrow(giving_back(run), f"id long, mentions {FOUND}")
     return out.select(real_id().alias(id_col), "mentions")
 
 
@@ -357,10 +357,10 @@ def pseudonymise(docs: DataFrame, key: bytes | str, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(counts, pa.int64())] * bool(n_col)], names=[*columns, *["_n"] * bool(n_col)])
 
     if size <= broadcast:
-        out = plain.mapInArrow(run, schema)
+        out = plain.mapInArrow(giving_back(run), schema)
     else:
         some = F.coalesce(F.octet_length(text), F.lit(0)) > 0
-        out = _with_changed(plain.where(some), changed, text).mapInArrow(run, schema).unionByName(plain.where(~some).mapInArrow(run, schema))
+        out = _with_changed(plain.where(some), changed, text).mapInArrow(giving_back(run), schema).unionByName(plain.where(~some).mapInArrow(giving_back(run), schema))
     return out.toDF(*docs.columns, *[n_col] * bool(n_col))
 
 
@@ -373,7 +373,7 @@ def _with_changed(rows: DataFrame, changed: DataFrame, text: str) -> DataFrame:
             out = {(h, f"{k}\0{c}") for h, t in zip(batch["mark"].to_pylist(), batch["t"].to_pylist(), strict=True) for _, _, k, c in entities(t)}
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in (zip(*out, strict=True) if out else ([], []))], names=["mark", "what"])
 
-    met = rows.select(mark.alias("mark"), F.col(text).alias("t")).mapInArrow(run, "mark string, what string").distinct()
+    met = rows.select(mark.alias("mark"), F.col(text).alias("t")).mapInArrow(giving_back(run), "mark string, what string").distinct()
     found = met.join(changed, "what").groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct("what", "to"))).alias("_to"))
     return rows.withColumn("mark", mark).join(found, "mark", "left").drop("mark")
 

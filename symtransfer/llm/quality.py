@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WHITE, chunks, id_and_text, interned, pair_numbers, read, real_id, utf8, words_of
+from .common import IS_WHITE, chunks, giving_back, id_and_text, interned, pair_numbers, read, real_id, utf8, words_of
 from .sais import _by_doubling
 from .shared_spans import _BYTE, _spans_hash
 
@@ -180,7 +180,7 @@ def quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", tex
             columns = [np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), batch["id"], *map(pa.array, columns)], names=[*names, *SCHEMA.names])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(giving_back(run), schema)
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeat_words * F.col("n_words"))
     covered = F.col("n_covered") > rules.most_covered * F.col("n_words")
     longest = (F.col("longest_repeat") >= rules.longest_from) & (F.col("longest_repeat") > rules.longest_share * F.col("n_words"))
@@ -201,7 +201,7 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
             keep = [verdict(measures(buf[ends[a] : ends[b]], ends[a : b + 1] - ends[a], rules), rules) for a, b in chunks(ends, 1 << 20)]
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(giving_back(run), rows.schema).toDF(*docs.columns)
 
 
 def verdict(m: list[np.ndarray], rules: Rules) -> np.ndarray:

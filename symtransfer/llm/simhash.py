@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, chunks, cut_lineage, id_and_text, interned, let_go, read, real_id, utf8, words_of
+from .common import NO_ID, chunks, cut_lineage, giving_back, id_and_text, interned, let_go, read, real_id, utf8, words_of
 from .shared_spans import _BYTE, _kgrams, _mix, _spans_hash
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fp = np.concatenate(got or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(fp)], schema=PRINTS)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    return id_and_text(docs, id_col, text_col).mapInArrow(giving_back(run), "id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -175,7 +175,7 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
         raise ValueError("the grid's cells reach a distance of 2")
     met = cells(prints)
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_links(distance), "a long, b long").distinct()
+    return met.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(giving_back(_links(distance)), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -309,7 +309,7 @@ def _long_sketches(batches):
 
 def _may_be_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) but those whose long sketches rule the similarity out: whole sets are sent for the others alone."""
-    long = sets.select("node", "shingles").mapInArrow(_long_sketches, "node long, n long, bits array<long>")
+    long = sets.select("node", "shingles").mapInArrow(giving_back(_long_sketches), "node long, n long, bits array<long>")
     both = pairs
     for own, m in (("a", "l_"), ("b", "r_")):
         both = both.join(long.select(F.col("node").alias(own), *[F.col(c).alias(m + c) for c in ("n", "bits")]), own)
@@ -378,7 +378,7 @@ def _bits(shingle: int):
 
 def _common(rows: DataFrame, shingle: int) -> np.ndarray:
     """The most frequent shingles of every 16th document by hash, rarest first. They only order prefixes."""
-    sample = rows.where("pmod(xxhash64(node), 16) = 0").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>")
+    sample = rows.where("pmod(xxhash64(node), 16) = 0").select("node", "text").mapInArrow(giving_back(_sets(shingle)), "node long, shingles array<long>")
     often = sample.select(F.explode(F.array_distinct("shingles")).alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 3")
     found = often.orderBy(F.desc("df"), "s").limit(MOST_COMMON).collect()
     return np.array([r.s for r in reversed(found)], np.int64).view(np.uint64)
@@ -396,7 +396,7 @@ def _seen(rows: DataFrame, own: DataFrame, similarity: float, shingle: int) -> t
     pairs = pairs.unionByName(near.select("node", "other")).unionByName(same).where("node != other")
     pairs = cut_lineage(pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
+    sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(giving_back(_sets(shingle)), "node long, shingles array<long>").dropDuplicates(["node"])
     # written out, so the joins below deal both sides only for themselves and a crowded leader's pairs can be split
     sets = cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles")))
     return pairs, components(_verified(pairs, sets, similarity))
@@ -405,7 +405,7 @@ def _seen(rows: DataFrame, own: DataFrame, similarity: float, shingle: int) -> t
 def _unseen(rows: DataFrame, root: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Pairs a > b of nodes of different groups that may be similar: all that are, by prefix filter, positions and sketches."""
     within = Window.partitionBy("s")
-    prefix = rows.select("node", "text").mapInArrow(_prefixes(shingle, similarity, _common(rows, shingle)), "node long, n long, s long, i long")
+    prefix = rows.select("node", "text").mapInArrow(giving_back(_prefixes(shingle, similarity, _common(rows, shingle))), "node long, n long, s long, i long")
     # one shuffle of the prefixes; shingles of one node alone go
     met = prefix.withColumns({"low": F.min("node").over(within), "high": F.max("node").over(within)}).where("low != high").select("node", "n", "s", "i")
     met = met.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -414,7 +414,7 @@ def _unseen(rows: DataFrame, root: DataFrame, similarity: float, shingle: int) -
     del prefix
     let_go(rows.sparkSession)
     wanted = met.select("node").distinct()
-    bits = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_bits(shingle), "node long, " + ", ".join(f"b{k} long" for k in range(BITS))).dropDuplicates(["node"])
+    bits = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(giving_back(_bits(shingle)), "node long, " + ", ".join(f"b{k} long" for k in range(BITS))).dropDuplicates(["node"])
     bits = bits.withColumn("ones", F.expr(" + ".join(f"bit_count(b{k})" for k in range(BITS))))
     met = cut_lineage(met.join(bits, "node").withColumn("x", F.col("n") - F.col("ones")).drop("ones"))
     del bits, wanted
@@ -451,14 +451,14 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     empty table gives no rows; other columns are ignored; long texts are compared whole.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("node", F.xxhash64("id", "text"))
-    own = cut_lineage(rows.mapInArrow(_sketches(shingle, tables, sample), "id long, node long, fp long, tables array<long>"))
+    own = cut_lineage(rows.mapInArrow(giving_back(_sketches(shingle, tables, sample)), "id long, node long, fp long, tables array<long>"))
     pairs, root = _seen(rows, own, similarity, shingle)
     let_go(rows.sparkSession)
     rest = cut_lineage(_unseen(rows, root, similarity, shingle).join(pairs, ["a", "b"], "left_anti"))
     let_go(rows.sparkSession)
     if not rest.isEmpty():
         wanted = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>").dropDuplicates(["node"])
+        sets = rows.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(giving_back(_sets(shingle)), "node long, shingles array<long>").dropDuplicates(["node"])
         sets = cut_lineage(sets.select("node", F.array_distinct("shingles").alias("shingles")))
         root = _joined(root, _verified(_may_be_similar(rest, sets, similarity), sets, similarity))
     nodes = root.select("node", "root").unionByName(root.select(F.col("root").alias("node"), "root").distinct())

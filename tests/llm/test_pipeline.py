@@ -1,6 +1,8 @@
 """The corpus pipeline, stage by stage, against a brute-force version."""
 
 import random
+import subprocess
+import sys
 
 import corpus_pipeline
 from test_shared_spans import thue_morse
@@ -183,3 +185,32 @@ def test_edge_rows_and_empty_tables_through_all_stages(spark, tmp_path):
         spark.createDataFrame(given, SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert {r.doc_id for r in out} == ({1} if given else set())
+
+
+def test_workers_give_memory_back():
+    """Freed arrays below an array that stays: without giving_back the heap keeps all of it."""
+    code = """
+import sys
+import numpy as np
+import pyarrow as pa
+from symtransfer.llm.common import giving_back
+
+stays = []
+
+def run(batches):
+    for batch in batches:
+        some = [np.ones(10_000) for _ in range(2000)]  # 80 kB each, so on the heap
+        stays.extend(some[99::100])
+        del some
+        yield batch
+
+def mb():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+before = mb()
+run = giving_back(run) if sys.argv[1] == "yes" else run
+assert sum(b.num_rows for b in run(iter([pa.record_batch({"a": [1, 2]})]))) == 2
+print(mb() - before)
+"""
+    kept = {x: float(subprocess.run([sys.executable, "-c", code, x], check=True, capture_output=True, text=True).stdout) for x in ("no", "yes")}
+    assert kept["no"] > 100 and kept["yes"] < kept["no"] / 2
