@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import TransferConfig
 from ..functions import features
 from ..operators import merge
-from ..operators.candidates import lsh_arity_pairs, lsh_pairs, ratio_band_pairs, ratio_band_rows
+from ..operators.candidates import lsh_arity_pairs, lsh_pairs, ratio_band_pairs, ratio_band_rows, ratio_band_tiles, untiled
 from ..operators.lookup import map_class, map_member
 from ..operators.minhash import MinHash, seeds
 from ..operators.scoring import profiles, shared
@@ -182,9 +182,9 @@ def dice_multiset(spark, sf):
 @query(f"WITH {CUSTOMER_PAIRS}, {SCORE_SQL} SELECT u, t, {MICRO} FROM (SELECT u, t, (am + ax) / 2e0 AS score FROM dices)")
 def arity_ratio(spark, sf):
     left, right = _customer_sides(spark, sf)
-    rows = ratio_band_rows(*[s.entity.select("entity_id", "n_methods", "n_fields", "nation") for s in (left, right)], ["nation"])
+    rows = ratio_band_tiles(*[s.entity.select("entity_id", "n_methods", "n_fields", "nation") for s in (left, right)], ["nation"])
     both = (features.ratio(F.col("l_n_methods"), F.col("r_n_methods")) + features.ratio(F.col("l_n_fields"), F.col("r_n_fields"))) / 2.0
-    return rows.select("u", "t", both.alias("score")).select("u", "t", micro())
+    return untiled(rows.select("u", "t", both.alias("score")).select("u", "t", micro()))
 
 
 @query(f"WITH {CUSTOMER_PAIRS}, {SCORE_SQL}, {BEST} SELECT u, t, {MICRO}, {', '.join(COUNTERS)} FROM best")
