@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from symtransfer.operators.candidates import ratio_band_rows, ratio_band_tiles, untiled
+from symtransfer.operators.scoring import SIGNALS, profiles
+from symtransfer.plans.frontends import customers
 from symtransfer.plans.queries import QUERIES, SQL
 
 SF, COPIES = "/root/testdata/sf0.001", 60
@@ -37,7 +39,7 @@ def copies(tmp_path_factory):
 
 
 #: queries with a row per pair
-TILED = ["arity_ratio"]
+TILED = ["arity_ratio", "dice_fine_reference"]
 
 
 @pytest.mark.parametrize("name", TILED)
@@ -56,3 +58,13 @@ def test_rows_of_copies_in_small_files(spark, copies, tmp_path, name):
 def test_pairs_are_not_put_into_a_few_tasks(spark, name):
     lines = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
     assert sum("Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" in x for x in lines) == 2
+
+
+def test_profiles_of_one_signal(spark):
+    side = customers(spark, SF)
+    every = profiles(side.entity, side.member, ["nation"])
+    for signal in SIGNALS:
+        one = profiles(side.entity, side.member, ["nation"], [signal])
+        of = lambda df: [c for c in df.columns if c[:2] in ("k_", "t_", "d_", "b_")]
+        assert of(one) == [c for c in of(every) if c[2:].startswith(signal)]
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, every.select(one.columns).collect()))
