@@ -39,7 +39,7 @@ def copies(tmp_path_factory):
 
 
 #: queries with a row per pair
-TILED = ["arity_ratio", "dice_fine_reference"]
+TILED = ["arity_ratio", "dice_fine_reference", "dice_multiset"]
 
 
 @pytest.mark.parametrize("name", TILED)
